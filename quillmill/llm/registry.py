@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("overlap", "cooccurrence", "subsequences", "terms", "defects", "truncation")
+MODULES = ("overlap", "cooccurrence", "subsequences", "terms", "defects", "truncation", "packing", "mixing", "toxicity")
 
 
 def queries() -> dict:
