@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .tokens import TOKENIZER, with_tokens
 
-EPS = 1e-9
+EPS, LANDING = 1e-9, 12
 
 
 def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -57,15 +57,14 @@ def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.nda
     return np.asarray(p)
 
 
-def landing(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """The last few fractions: of the two nearest whole counts, the choice that changes the tokens least."""
+def landing(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The last few fractions (at most LANDING + 2): of all choices the one that changes the tokens least."""
     left = np.flatnonzero((pi > EPS) & (pi < 1 - EPS))
     out = pi.copy()
     if len(left):
-        goal = float((pi[left] * size[left]).sum())
-        best = min(range(1 << len(left)), key=lambda m: abs(sum(size[k] for j, k in enumerate(left) if m >> j & 1) - goal))
-        for j, k in enumerate(left):
-            out[k] = best >> j & 1
+        choices = (np.arange(1 << len(left))[:, None] >> np.arange(len(left)) & 1).astype(np.int8)
+        off = np.abs(choices @ size[left].astype(np.float64) - (pi[left] * size[left]).sum())
+        out[left] = choices[int(np.argmin(off + 1e-6 * np.abs(choices.sum(axis=1) - pi[left].sum())))]
     return np.rint(out)
 
 
@@ -75,9 +74,10 @@ def _flyer(last: bool, level: int, seed: int):
         rng = np.random.default_rng([seed, level, int(pdf["block"].iloc[0]), zlib.crc32(str(pdf["source"].iloc[0]).encode())])
         order = rng.permutation(len(pdf))
         pi, size = pdf["pi"].to_numpy()[order], pdf["tokens"].to_numpy()[order]
-        got = flight(pi, size, rng)
-        if last:
-            got = landing(got, size, rng)
+        if last:  # some units stay out of the flight, so that the landing has a choice
+            got = landing(np.concatenate((pi[:LANDING], flight(pi[LANDING:], size[LANDING:], rng))), size)
+        else:
+            got = flight(pi, size, rng)
         out = pdf.iloc[order][["source", "doc_id", "tokens", "base"]].copy()
         out["pi"] = got
         return out
