@@ -39,21 +39,18 @@ def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.nda
         u = (t[c] - t[b], t[a] - t[c], t[b] - t[a])
         if not any(u):
             u = (1.0, -1.0, 0.0)  # equal sizes: any direction that keeps the count
-        up = down = float("inf")
-        for k, x in zip(held, u):
-            if x > 0:
-                up, down = min(up, (1 - p[k]) / x), min(down, p[k] / x)
-            elif x < 0:
-                up, down = min(up, p[k] / -x), min(down, (1 - p[k]) / -x)
-        step = up if draws[i] * (up + down) < down else -down
+        ups = [((1 - p[k]) / x if x > 0 else p[k] / -x, k) for k, x in zip(held, u) if x]
+        downs = [(p[k] / x if x > 0 else (1 - p[k]) / -x, k) for k, x in zip(held, u) if x]
+        (up, first), (down, other) = min(ups), min(downs)
+        step, hit = (up, first) if draws[i] * (up + down) < down else (-down, other)
         still = []
         for k, x in zip(held, u):
             p[k] += step * x
-            if p[k] <= EPS or p[k] >= 1 - EPS:
+            if k == hit or p[k] <= EPS or p[k] >= 1 - EPS:
                 p[k] = float(round(p[k]))
             else:
                 still.append(k)
-        held = still if len(still) < 3 else still[:2]
+        held = still
     return np.asarray(p)
 
 
@@ -72,10 +69,12 @@ def _flyer(last: bool, level: int, seed: int):
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id", kind="stable").reset_index(drop=True)
         rng = np.random.default_rng([seed, level, int(pdf["block"].iloc[0]), zlib.crc32(str(pdf["source"].iloc[0]).encode())])
-        order = rng.permutation(len(pdf))
+        order = rng.permutation(len(pdf))  # at random, but large documents fly first and small ones land
+        order = order[np.argsort(-pdf["tokens"].to_numpy()[order], kind="stable")]
         pi, size = pdf["pi"].to_numpy()[order], pdf["tokens"].to_numpy()[order]
         if last:  # some units stay out of the flight, so that the landing has a choice
-            got = landing(np.concatenate((pi[:LANDING], flight(pi[LANDING:], size[LANDING:], rng))), size)
+            n = max(0, len(pi) - LANDING)
+            got = landing(np.concatenate((flight(pi[:n], size[:n], rng), pi[n:])), size)
         else:
             got = flight(pi, size, rng)
         out = pdf.iloc[order][["source", "doc_id", "tokens", "base"]].copy()
