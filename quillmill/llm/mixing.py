@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .tokens import TOKENIZER, with_tokens
 
-EPS, LANDING = 1e-9, 12
+EPS, POOL, LANDING = 1e-9, 256, 10
 
 
 def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -54,14 +54,30 @@ def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.nda
     return np.asarray(p)
 
 
-def landing(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The last few fractions (at most LANDING + 2): of all choices the one that changes the tokens least."""
-    left = np.flatnonzero((pi > EPS) & (pi < 1 - EPS))
-    out = pi.copy()
-    if len(left):
+def landing(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The flight of a last block, down to 0 and 1.
+
+    A flight may end on a document far larger than the others, whose rounding would upset the tokens. So a pool of
+    usual-sized units waits; what the others' flight leaves is rounded, the pool's probabilities are scaled to the
+    tokens then missing, the pool flies, and of the choices for its last units the one nearest to the goal is taken."""
+    goal = float((pi * size).sum())
+    usual = np.flatnonzero((size <= np.quantile(size, 0.75)) & (pi > EPS) & (pi < 1 - EPS)) if len(pi) else np.zeros(0, np.int64)
+    pool = rng.permutation(usual)[:POOL]
+    rest = np.setdiff1d(np.arange(len(pi)), pool, assume_unique=True)
+    out = pi.astype(np.float64)
+    out[rest] = flight(pi[rest], size[rest], rng)
+    open_ = rest[(out[rest] > EPS) & (out[rest] < 1 - EPS)]
+    out[open_] = rng.random(len(open_)) < out[open_]
+    if len(pool):
+        missing = goal - float((out[rest] * size[rest]).sum())
+        out[pool] = np.clip(pi[pool] * missing / float((pi[pool] * size[pool]).sum()), 0, 1)
+        fly = pool[: max(0, len(pool) - LANDING)]
+        out[fly] = flight(out[fly], size[fly], rng)
+        left = np.concatenate((fly[(out[fly] > EPS) & (out[fly] < 1 - EPS)], pool[len(fly) :]))
         choices = (np.arange(1 << len(left))[:, None] >> np.arange(len(left)) & 1).astype(np.int8)
-        off = np.abs(choices @ size[left].astype(np.float64) - (pi[left] * size[left]).sum())
-        out[left] = choices[int(np.argmin(off + 1e-6 * np.abs(choices.sum(axis=1) - pi[left].sum())))]
+        decided = np.setdiff1d(np.arange(len(pi)), left, assume_unique=False)
+        gap = goal - float((out[decided] * size[decided]).sum())
+        out[left] = choices[int(np.argmin(np.abs(choices @ size[left].astype(np.float64) - gap)))]
     return np.rint(out)
 
 
@@ -69,14 +85,9 @@ def _flyer(last: bool, level: int, seed: int):
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id", kind="stable").reset_index(drop=True)
         rng = np.random.default_rng([seed, level, int(pdf["block"].iloc[0]), zlib.crc32(str(pdf["source"].iloc[0]).encode())])
-        order = rng.permutation(len(pdf))  # at random, but large documents fly first and small ones land
-        order = order[np.argsort(-pdf["tokens"].to_numpy()[order], kind="stable")]
+        order = rng.permutation(len(pdf))
         pi, size = pdf["pi"].to_numpy()[order], pdf["tokens"].to_numpy()[order]
-        if last:  # some units stay out of the flight, so that the landing has a choice
-            n = max(0, len(pi) - LANDING)
-            got = landing(np.concatenate((flight(pi[:n], size[:n], rng), pi[n:])), size)
-        else:
-            got = flight(pi, size, rng)
+        got = landing(pi, size, rng) if last else flight(pi, size, rng)
         out = pdf.iloc[order][["source", "doc_id", "tokens", "base"]].copy()
         out["pi"] = got
         return out
