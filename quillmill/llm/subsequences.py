@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 _POS = 1 << 32
+#: Items up to which a list of frequent items is broadcast (some 50 bytes each); beyond, it is joined by a shuffle.
+BROADCAST_ITEMS = 20_000
 
 
 @dataclass(frozen=True)
@@ -139,7 +141,9 @@ def frequent_subsequences(
     # an item in fewer sequences than sigma is in fewer entities, too: most items go before the costlier count
     each = s.select("entity", F.explode(F.array_distinct("its")).alias("item"))
     maybe = each.groupBy("item").agg(F.count("*").alias("n")).filter(F.col("n") >= sigma)
-    users = each.join(maybe, "item", "left_semi").distinct().groupBy("item").agg(F.count("*").alias("n")).filter(F.col("n") >= sigma)
+    maybe = C.kept(maybe, "maybe")
+    few = F.broadcast(maybe) if maybe.count() <= BROADCAST_ITEMS else maybe
+    users = each.join(few, "item", "left_semi").distinct().groupBy("item").agg(F.count("*").alias("n")).filter(F.col("n") >= sigma)
     # ranks: 0 is the most frequent. The list has at most (mean items of an entity) / min_share entries, whatever the data's size.
     from pyspark.sql import Window
 
@@ -150,7 +154,7 @@ def frequent_subsequences(
         s.filter(F.size("its") >= rule.min_len)
         .withColumn("sid", F.monotonically_increasing_id())
         .select("entity", "sid", F.posexplode("its").alias("pos", "item"))
-        .join(ranked, "item")
+        .join(F.broadcast(ranked) if ranked.count() <= BROADCAST_ITEMS else ranked, "item")
         .groupBy("entity", "sid")
         .agg(F.array_sort(F.collect_list(F.struct("pos", cell.alias("cell")))).alias("cells"))
         .select("entity", F.col("cells.cell").alias("seq"))
