@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from . import common as C
 
 
+#: Items up to which the list of frequent items is broadcast (some 50 bytes each); beyond, it is joined by a shuffle.
+BROADCAST_ITEMS = 20_000
+
+
 def item_pairs(
     baskets: DataFrame,
     key: list[str],
@@ -42,7 +46,10 @@ def item_pairs(
     if min_lift > 0:
         known = known.filter(F.col("n_x") * min_lift <= n)
     if least > 1 or min_lift > 1:
-        slim = each.join(known, "item", "left_semi").groupBy(*key).agg(F.array_sort(F.collect_list("item")).alias("_items"))
+        known = C.kept(known, "known")
+        # a relative threshold keeps at most (mean items of a basket) / min_share items, whatever the data's size
+        pick = F.broadcast(known) if known.count() <= BROADCAST_ITEMS else known
+        slim = each.join(pick, "item", "left_semi").groupBy(*key).agg(F.array_sort(F.collect_list("item")).alias("_items"))
     else:
         slim = b
     slim = slim.filter(F.size("_items") > 1)
