@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("metrics", "joining", "samples", "texts")
 
 
 def queries() -> dict:
