@@ -34,7 +34,7 @@ def string_list(c: Column, drop_empty: bool = False) -> Column:
 
 
 def nested_string_list(c: Column) -> Column:
-    return F.coalesce(F.transform(F.filter(c, lambda r: r.isNotNull()), string_list), F.array().cast("array<array<string>>"))
+    return F.coalesce(F.transform(F.filter(c, lambda r: r.isNotNull()), lambda r: string_list(r)), F.array().cast("array<array<string>>"))
 
 
 def parse_list_string(c: Column) -> Column:
