@@ -246,7 +246,7 @@ def defects(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     are counted before they are joined.
     """
     rows = rows.select("row_id", "hist_sid", "target_tid", "target_ins", "reasoning")
-    found = rows.mapInPandas(_find, _DEFECT_SCHEMA)
+    found = C.kept(rows.mapInPandas(_find, _DEFECT_SCHEMA), "found")
     cut = truncated_values(
         rows.select(
             "row_id",
