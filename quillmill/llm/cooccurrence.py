@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 
-#: Items up to which the list of frequent items is broadcast (some 50 bytes each); beyond, it is joined by a shuffle.
-BROADCAST_ITEMS = 20_000
+#: Items up to which their list is broadcast (some 50 MB); beyond, it is joined by a shuffle.
+BROADCAST_ITEMS = 500_000
 
 
 def item_pairs(
@@ -45,24 +45,21 @@ def item_pairs(
     known = each.groupBy("item").agg(F.count("*").alias("n_x")).filter(F.col("n_x") >= least)
     if min_lift > 0:
         known = known.filter(F.col("n_x") * min_lift <= n)
-    if least > 1 or min_lift > 1:
-        known = C.kept(known, "known")
-        # a relative threshold keeps at most (mean items of a basket) / min_share items, whatever the data's size
-        pick = F.broadcast(known) if known.count() <= BROADCAST_ITEMS else known
-        slim = each.join(pick, "item", "left_semi").groupBy(*key).agg(F.array_sort(F.collect_list("item")).alias("_items"))
-    else:
-        slim = b
-    slim = slim.filter(F.size("_items") > 1)
-    first = slim.select(F.posexplode("_items").alias("_i", "item_a"), "_items")
+    # ids in the order of the items; a relative threshold keeps at most (mean items of a basket) / min_share of them
+    known = C.kept(known.orderBy("item").withColumn("id", F.monotonically_increasing_id()), "known")
+    small = known.count() <= BROADCAST_ITEMS
+    sized = F.broadcast if small else lambda d: d
+    slim = each.join(sized(known.select("item", "id")), "item").groupBy(*key).agg(F.array_sort(F.collect_list("id")).alias("_ids"))
+    first = slim.filter(F.size("_ids") > 1).select(F.posexplode("_ids").alias("_i", "a"), "_ids")
     pairs = (
-        first.select("item_a", F.explode(F.slice("_items", F.col("_i") + 2, F.size("_items"))).alias("item_b"))
-        .groupBy("item_a", "item_b")
+        first.select("a", F.explode(F.slice("_ids", F.col("_i") + 2, F.size("_ids"))).alias("b"))
+        .groupBy("a", "b")
         .agg(F.count("*").alias("n_ab"))
         .filter(F.col("n_ab") >= least)
     )
-    a, z = (known.select(F.col("item").alias(f"item_{x}"), F.col("n_x").alias(f"n_{x}")) for x in "ab")
+    a, z = (known.select(F.col("id").alias(x), F.col("item").alias(f"item_{x}"), F.col("n_x").alias(f"n_{x}")) for x in "ab")
     lift = F.col("n_ab") * F.lit(float(n)) / (F.col("n_a").cast("double") * F.col("n_b"))
-    out = pairs.join(a, "item_a").join(z, "item_b")
+    out = pairs.join(sized(a), "a").join(sized(z), "b")
     if min_lift > 0:
         out = out.filter(F.col("n_ab") * F.lit(float(n)) >= F.lit(float(min_lift)) * F.col("n_a") * F.col("n_b"))
     return out.select(
