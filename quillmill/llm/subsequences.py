@@ -126,7 +126,8 @@ def frequent_subsequences(
 
     * an entity with over ``hot_sequences`` distinct sequences is set apart. As it adds at most 1 to a support, mining
       the rest with a threshold lower by the number of hot entities loses nothing; then its own sequences, in blocks
-      of their own, are searched for the candidates only;
+      of their own, are searched for the candidates only. Were as many entities hot as a pattern needs, the bound on
+      sequences is doubled until fewer are;
     * a pivot with over ``block_rows`` automata is mined in blocks, each with its share of the threshold: a frequent
       pattern reaches its share in some block. The candidates are then counted in all blocks.
     """
@@ -162,9 +163,14 @@ def frequent_subsequences(
         .dropDuplicates(["entity", "seq"])
     )
     coded = C.kept(coded, "coded")
-    # at most (sequences / hot_sequences) entities
-    hot = coded.groupBy("entity").agg(F.count("*").alias("n")).filter(F.col("n") > hot_sequences).select("entity")
+    # at most (sequences / hot_sequences) entities; fewer than sigma, so that some other entity holds each frequent pattern
+    counts = coded.groupBy("entity").agg(F.count("*").alias("n"))
+    hot = counts.filter(F.col("n") > hot_sequences).select("entity")
     n_hot = hot.count()
+    while n_hot >= sigma:
+        hot_sequences *= 2
+        hot = counts.filter(F.col("n") > hot_sequences).select("entity")
+        n_hot = hot.count()
 
     def rank_of(x):
         return x % F.lit(_POS) if with_pos else x
