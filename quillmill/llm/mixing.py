@@ -2,7 +2,7 @@
 
 A source's share and the mixture's size give each of its documents an expected number of copies. The whole part is
 taken; the fraction is an inclusion probability that a flight moves to 0 or 1 along directions that leave the source's
-tokens and documents unchanged. Blocks fly alone and pass on at most two documents each, until a last block lands.
+tokens and documents unchanged. Blocks fly alone and pass on a bounded number of documents each, until a last block lands.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .tokens import TOKENIZER, with_tokens
 
-EPS, POOL, LANDING = 1e-9, 256, 10
+EPS, POOL, LANDING, RESERVE = 1e-9, 256, 10, 64
 
 
 def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -87,7 +87,13 @@ def _flyer(last: bool, level: int, seed: int):
         rng = np.random.default_rng([seed, level, int(pdf["block"].iloc[0]), zlib.crc32(str(pdf["source"].iloc[0]).encode())])
         order = rng.permutation(len(pdf))
         pi, size = pdf["pi"].to_numpy()[order], pdf["tokens"].to_numpy()[order]
-        got = landing(pi, size, rng) if last else flight(pi, size, rng)
+        if last:
+            got = landing(pi, size, rng)
+        else:  # usual-sized units stay undecided, so that the last block has its pool
+            usual = np.flatnonzero(size <= np.quantile(size, 0.75))[:RESERVE]
+            fly_ = np.setdiff1d(np.arange(len(pi)), usual, assume_unique=True)
+            got = pi.astype(np.float64)
+            got[fly_] = flight(pi[fly_], size[fly_], rng)
         out = pdf.iloc[order][["source", "doc_id", "tokens", "base"]].copy()
         out["pi"] = got
         return out
@@ -134,7 +140,7 @@ def mix(docs: DataFrame, targets: list[tuple[str, float, int]], total_tokens: fl
         if last:
             break
         state = flown.filter("pi > 0 AND pi < 1")
-        blocks = {s: max(1, -(-2 * b // block_rows)) for s, b in blocks.items()}
+        blocks = {s: max(1, -(-(RESERVE + 2) * b // block_rows)) for s, b in blocks.items()}
         level += 1
     out = decided[0]
     for x in decided[1:]:
