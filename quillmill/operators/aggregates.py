@@ -46,9 +46,10 @@ def instruction_metrics(df: DataFrame, pred_tid: str, gold_tid: str, pred_ins: s
 
 
 def code_token_counts(df: DataFrame, col: str) -> DataFrame:
-    """``token, n`` over the valid codes."""
-    ok = df.filter(F.coalesce(ids.tokens_cover(F.col(col)), F.lit(False)) & (F.length(col) > 0))
-    return ok.select(F.explode(ids.code_tokens(F.col(col))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    """``token, n`` over the valid codes; codes are counted first, so each distinct one is taken apart once."""
+    each = df.filter(F.length(col) > 0).groupBy(F.col(col).alias("code")).agg(F.count("*").alias("m"))
+    ok = each.filter(F.coalesce(ids.tokens_cover(F.col("code")), F.lit(False)))
+    return ok.select(F.explode(ids.code_tokens(F.col("code"))).alias("token"), "m").groupBy("token").agg(F.sum("m").alias("n"))
 
 
 def code_validity(df: DataFrame, col: str) -> DataFrame:

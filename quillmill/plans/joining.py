@@ -34,11 +34,13 @@ def resume_anti(spark, d):
 
 def _all_codes(spark, d):
     h = t(spark, d, "train_cid2cid").select(F.explode("hist_sid").alias("code"))
-    return h.select(coerce.pytrim(F.col("code")).alias("code")).filter(ids.is_code(F.col("code")))
+    ok = F.col("code").rlike(r"^\s*<\|cid_begin\|><s_a_\d+><s_b_\d+><s_c_\d+><\|cid_end\|>\s*\z")
+    return h.filter(ok).select(coerce.pytrim(F.col("code")).alias("code"))
 
 
 def vocab_tokens(spark, d):
-    return aggregates.code_token_counts(_all_codes(spark, d), "code").orderBy(*ids.token_order(F.col("token")))
+    # sorted at the end: a vocabulary is bounded by the sizes of its layers
+    return aggregates.code_token_counts(_all_codes(spark, d), "code").coalesce(1).sortWithinPartitions(*ids.token_order(F.col("token")))
 
 
 def vocab_missing_anti(spark, d):

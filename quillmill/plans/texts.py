@@ -164,7 +164,7 @@ def external_ask(spark, d):
 
 
 _CV = r"coalesce(list_filter(list_transform(target_tid, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x IS NOT NULL AND x <> ''), [])"
-_TC = r"regexp_replace(trim(regexp_replace({}, '^\s+|\s+$', '', 'g'), '[]{{}}()""''`'), '\s+', ' ', 'g')"
+_TC = r"""regexp_replace(trim(regexp_replace({}, '^\s+|\s+$', '', 'g'), '[]{{}}()"''`'), '\s+', ' ', 'g')"""
 _CT = "trim(" + _TC + ", ' ,;|')"
 _EN = r"(regexp_full_match({0}, '[A-Za-z0-9][A-Za-z0-9\s&+/\-,''().]*') AND regexp_matches({0}, '[A-Za-z]'))"
 _BODY = "'{\"target_tid\":' || to_json(coalesce(target_tid, [])) || ',\"target_ins\":' || to_json(coalesce(target_ins, '')) || '}'"
