@@ -55,7 +55,7 @@ STOPWORDS = {
     "de": "der die das und ist in an nicht mit ein eine einen einem einer auf für von den dem des im zu zum zur ich sich auch wie nach noch als aus bei bitte damit dass man hat soll sollte weil aber oder alles keine mir dabei meine meinen war steht liegt ans einen eines".split(),
     "fr": "le la les un une des a et est dans avec pour sur du au aux que qui ne pas plus ce cette il elle je tout sans se sa son ses doit car par mais ou où encore déjà l d à ma devant près".split(),
     "es": "el los las una unos y en con pero puedo esa ese lo no por para que del al su sus se es como sin lo muy más pero este esta todo yo mi debe debo tiene hay cerca la ya después aunque un delante".split(),
-    "it": "il lo gli una e di in a con per che del della sul sullo non più come si sono questo questa dovrei ho mi senza deve devono po al ma o già dopo nel alla un la".split(),
+    "it": "il lo gli i una e di in a con per che del della sul sullo non più come si sono questo questa dovrei ho mi senza deve devono po al ma o già dopo nel alla un la".split(),
     "pt": "o os uma e do no a da dos das com por para que não mais como se um em ao na no seu sua já sem deve".split(),
     "nl": "de het een en van in met voor dat op niet ook naar zijn heeft wordt deze die maar bij uit aan moet zonder".split(),
 }
@@ -137,12 +137,13 @@ def copied_share(value: list[str], source: list[str], words: int) -> float:
 
 
 _LABEL = re.compile(r"^\s*\w[\w ]{0,20}:\s+")  # "Terms: ", "target_tid: "
+_LEAD = re.compile(r"^\s*[A-Za-z][^:.!?\n]{0,25}:\s+")  # "OK, here it is: "
 _FOREIGN_SCRIPT = re.compile(r"[Ѐ-ԯ֐-ۿऀ-෿฀-໿ᄀ-ᇿ぀-ヿ㐀-鿿가-힯]")
 
 
 def foreign_share(text: str) -> float:
     """Share of the voting characters that lie in sentences whose stop words or script are not English."""
-    plain = re.sub(r"<[^>]*>?", " ", text)
+    plain = re.sub(r"<[^>]*>?", " ", _LEAD.sub("", text))
     foreign = total = 0
     for s in re.split(r"(?<=[.!?。！？])\s*", plain):
         script = len(_FOREIGN_SCRIPT.findall(s))
