@@ -69,10 +69,51 @@ def _judge(text: pd.Series, terms: pd.Series) -> pd.Series:
     return pd.Series([judge_end(a, b) for a, b in zip(text, terms)], dtype="int32")
 
 
+def _clean(text: Column) -> Column:
+    """The text in lower case with single blanks; a CJK character stands alone."""
+    spaced = F.regexp_replace(F.lower(text), r"([⺀-鿿＀-￯])", " $1 ")
+    return F.trim(F.regexp_replace(spaced, r"(?U)[\s​]+", " "))
+
+
+def _flat(text: Column) -> Column:
+    """The text with single blanks, runs with a line break as one line break."""
+    lines = F.regexp_replace(text, r"(?U)[\s​\uFEFF]*[\n\r][\s​\uFEFF]*", "\n")
+    return F.btrim(F.regexp_replace(lines, r"(?U)[[\s​\uFEFF]&&[^\n]]+", " "), F.lit(" \n"))
+
+
+def _windows(sentences: Column) -> Column:
+    """Each window of three and of two words of a text with the word that follows, once; '$' follows an end without a stop."""
+
+    ends = lambda w: F.when(_ended(w), _padded(w)).otherwise(F.concat(_padded(w), F.array(F.lit("$"))))
+
+    def of(q: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                F.sequence(F.lit(3), F.size(q) - 1),
+                lambda i: F.array(*[F.struct(_context(q, i, n).alias("ctx"), F.element_at(q, i + 1).alias("next")) for n in (3, 2)]),
+            )
+        )
+
+    return F.array_distinct(F.flatten(F.transform(F.transform(sentences, ends), of)))
+
+
+def _begins(sentences: Column) -> Column:
+    """The first three words of each sentence and whether it has a stop, once."""
+    begin = lambda w: F.struct(_context(_padded(w), F.lit(6), 3).alias("start"), _ended(w).alias("done"))
+    return F.array_distinct(F.transform(F.filter(sentences, lambda w: F.size(w) >= 3), begin))
+
+
+def _longer(following: Column, word: Column) -> Column:
+    return following.startswith(word) & (following != word)
+
+
+def _two_hashes(*cols: Column) -> list[Column]:
+    return [F.xxhash64(*cols).alias("k1"), F.xxhash64(F.lit(11), *cols).alias("k2")]
+
+
 def _sentences(text: Column) -> Column:
     """Sentences in lower case, as arrays of words; a CJK character is a word."""
-    spaced = F.regexp_replace(F.lower(text), r"([⺀-鿿＀-￯])", " $1 ")
-    clean = F.trim(F.regexp_replace(spaced, r"(?U)[\s​]+", " "))
+    clean = _clean(text)
     return F.transform(F.split(clean, _SENTENCE_GAP), lambda s: F.split(s, " "))
 
 
@@ -89,49 +130,83 @@ def _context(padded: Column, end: Column, n: int) -> Column:
     return F.xxhash64(F.lit(n), *[F.element_at(padded, end - (n - 1 - k)) for k in range(n)])
 
 
+def _step(n: str) -> Column:
+    """The largest power of two up to ``n``."""
+    return F.expr(f"shiftleft(1, length(bin({n})) - 1)")
+
+
+def longer_copies(values: DataFrame, asked: DataFrame) -> DataFrame:
+    """``k1, k2, rest`` of the asked values that are strict prefixes of others; ``rest``: two characters that follow.
+
+    ``values``: ``flat``; ``asked``: ``flat``. Case does not count. Prefixes of a fixed length (the largest power of two
+    within an asked value) are hashed and joined with the lengths asked for below them; then the whole prefixes of these
+    lengths are compared by two 64-bit hashes, so a lead shared by many makes no pairs.
+    """
+    sized = asked.select("flat", F.length("flat").alias("n")).filter("n > 0").withColumn("step", _step("n"))
+    lead = lambda step: F.xxhash64(F.lower(F.left(F.col("flat"), step)))
+    heads = sized.select("n", *_two_hashes(F.lower("flat"))).distinct()
+    needed = sized.groupBy("step", lead(F.col("step")).alias("lead")).agg(F.collect_set("n").alias("sizes"))
+    steps = sorted(r["step"] for r in sized.select("step").distinct().collect())  # powers of two: a few
+    if not steps:
+        return heads.select("k1", "k2", F.lit("").alias("rest"))
+    leads = F.filter(
+        F.array(*[F.when(F.length("flat") > k, F.struct(F.lit(k).alias("step"), lead(F.lit(k)).alias("lead"))) for k in steps]),
+        lambda x: x.isNotNull(),
+    )
+    at = values.select("flat", F.explode(leads).alias("x")).select("flat", "x.step", "x.lead").join(needed, ["step", "lead"])
+    at = at.select("flat", F.explode("sizes").alias("n")).filter(F.length("flat") > F.col("n"))
+    found = at.select("n", *_two_hashes(F.lower(F.left(F.col("flat"), F.col("n")))), F.substring(F.col("flat"), F.col("n") + 1, F.lit(2)).alias("rest"))
+    return found.join(heads, ["n", "k1", "k2"], "left_semi").select("k1", "k2", "rest").distinct()
+
+
 def truncated_values(values: DataFrame) -> DataFrame:
     """``row_id, field`` of the values that break off inside a word or sentence.
 
     ``values``: ``row_id, field, text, terms`` (``terms`` array<string>: the record's target terms in lower case, as a
     list that stops short of them is cut). Null and blank texts are no cases; an empty table gives no rows; repeated
-    rows give repeated rows. Whole texts are read. Evidence is pre-aggregated before its shuffle, and only for contexts
-    that some open tail needs, so a template in a third of all rows stays one row per map task.
+    rows give repeated rows. Whole texts are read. An open value with a strictly longer copy that goes on in its line is
+    cut. Otherwise the other texts vote, each distinct text once for a window, however often it is delivered. Evidence is
+    pre-aggregated before its shuffle, and only for contexts that some open tail needs, so a template in a third of all
+    texts stays one row per map task.
     """
     judge = F.pandas_udf(_judge, "int")
     v = C.kept(values.select("row_id", "field", "text", judge("text", "terms").alias("end")), "values")
+    opens = v.filter(F.col("end") == OPEN).select("row_id", "field", "text", _flat(F.col("text")).alias("flat"))
+    carried = longer_copies(v.select(_flat(F.col("text")).alias("flat")), opens.select("flat")).filter(~F.col("rest").startswith("\n"))
+    carried = C.kept(carried.select("k1", "k2").distinct(), "carried")
+    opens = opens.select("row_id", "field", "text", *_two_hashes(F.lower("flat")))
     tails = (
-        v.filter(F.col("end") == OPEN)
-        .withColumn("w", F.element_at(_sentences(F.col("text")), -1))
+        opens.join(carried, ["k1", "k2"], "left_anti")
+        .withColumn("s", _sentences(F.col("text")))
+        .withColumn("w", F.element_at("s", -1))
         .withColumn("p", _padded(F.col("w")))
         .select(
             "row_id",
             "field",
+            "s",
             F.element_at("p", -1).alias("word"),
             F.when(F.size("w") > 3, _context(F.col("p"), F.lit(6), 3)).alias("start"),
             *[_context(F.col("p"), F.size("p") - 1, n).alias(f"a{n}") for n in (3, 2)],
             *[_context(F.col("p"), F.size("p"), n).alias(f"b{n}") for n in (3, 2)],
         )
     )
-    tails = C.kept(tails, "tails")
+    # what a value's own text says is no evidence on it
+    own = {}
+    for n in (3, 2):
+        at = lambda key, ok: F.size(F.filter("own", lambda x: (x["ctx"] == F.col(key)) & ok(x["next"])))
+        own[f"own_on{n}"] = at(f"a{n}", lambda y: _longer(y, F.col("word"))) + at(f"b{n}", lambda y: y != "$")
+        own[f"own_stop{n}"] = at(f"b{n}", lambda y: y == "$")
+    begun = lambda done: F.size(F.filter(_begins(F.col("s")), lambda x: (x["start"] == F.col("start")) & (x["done"] == done)))
+    own |= {"own_done": begun(True), "own_open": begun(False)}
+    tails = tails.withColumn("own", _windows(F.col("s"))).withColumns(own).drop("s", "own")
+    tails = C.kept(tails.withColumn("kind", F.xxhash64("word", "start", "a3", "b3", *own)), "tails")
     needed = tails.select(F.explode(F.array("a3", "a2", "b3", "b2")).alias("ctx")).distinct()
     starts = tails.select("start").filter("start IS NOT NULL").distinct()
-    # all sentences of all values; the last one carries '$' when it has no stop
-    sents = v.filter(F.length(F.trim("text")) > 0).select("row_id", "field", F.posexplode(_sentences(F.col("text"))).alias("i", "w"))
-    sents = sents.withColumn("done", _ended(F.col("w"))).withColumn(
-        "q", F.when(F.col("done"), _padded(F.col("w"))).otherwise(F.concat(_padded(F.col("w")), F.array(F.lit("$"))))
-    )
-    windows = F.flatten(
-        F.transform(
-            F.sequence(F.lit(3), F.size("q") - 1),
-            lambda i: F.array(
-                F.struct(_context(F.col("q"), i, 3).alias("ctx"), F.element_at("q", i + 1).alias("next")),
-                F.struct(_context(F.col("q"), i, 2).alias("ctx"), F.element_at("q", i + 1).alias("next")),
-            ),
-        )
-    )
+    # the sentences of each distinct text; the last one carries '$' when it has no stop
+    texts = v.filter(F.length(F.trim("text")) > 0).select("text", *_two_hashes(_clean(F.col("text")))).dropDuplicates(["k1", "k2"])
+    texts = C.kept(texts.select(_sentences(F.col("text")).alias("s")), "texts")
     seen = (
-        sents.filter(F.size("q") > 3)
-        .select(F.explode(windows).alias("x"))
+        texts.select(F.explode(_windows(F.col("s"))).alias("x"))
         .select("x.ctx", "x.next")
         .join(needed, "ctx", "left_semi")
         .groupBy("ctx", "next")
@@ -139,18 +214,18 @@ def truncated_values(values: DataFrame) -> DataFrame:
     )
     seen = C.kept(seen, "seen")
     opened = (
-        sents.filter(F.size("w") >= 3)
-        .select(_context(_padded(F.col("w")), F.lit(6), 3).alias("start"), "done")
+        texts.select(F.explode(_begins(F.col("s"))).alias("x"))
+        .select("x.start", "x.done")
         .join(starts, "start", "left_semi")
         .groupBy("start")
         .agg(F.count_if("done").alias("n_done"), F.count_if(~F.col("done")).alias("n_open"))
     )
-    kinds = C.kept(tails.select("word", "start", "a3", "a2", "b3", "b2").distinct(), "kinds").withColumn("kind", F.xxhash64("word", "start", "a3", "b3"))
+    kinds = C.kept(tails.drop("row_id", "field").distinct(), "kinds")
     got = kinds.join(opened, "start", "left")
     for n in (3, 2):
         longer = (
             kinds.join(seen.withColumnRenamed("ctx", f"a{n}"), f"a{n}")
-            .filter(F.col("next").startswith(F.col("word")) & (F.col("next") != F.col("word")))
+            .filter(_longer(F.col("next"), F.col("word")))
             .groupBy("kind")
             .agg(F.sum("n").alias(f"in_word{n}"))
         )
@@ -159,12 +234,16 @@ def truncated_values(values: DataFrame) -> DataFrame:
             F.sum(F.when(F.col("next") == "$", F.col("n")).otherwise(0)).alias(f"stop{n}"),
         )
         got = got.join(longer, "kind", "left").join(after.withColumnRenamed("ctx", f"b{n}"), f"b{n}", "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    on3, on2 = z("in_word3") + z("on3"), z("in_word2") + z("on2")
-    cut = (z("n_done") > z("n_open")) | (on3 > z("stop3")) | ((on3 == 0) & (z("stop3") <= 2) & (on2 > z("stop2")))
+    z = lambda c, own: F.coalesce(F.col(c), F.lit(0)) - F.col(own)
+    on3, on2 = (F.coalesce(F.col(f"in_word{n}"), F.lit(0)) + z(f"on{n}", f"own_on{n}") for n in (3, 2))
+    stop3, stop2 = z("stop3", "own_stop3"), z("stop2", "own_stop2")
+    begun = F.col("start").isNotNull() & (z("n_done", "own_done") > z("n_open", "own_open"))
+    cut = begun | (on3 > stop3) | ((on3 == 0) & (stop3 <= 1) & (on2 > stop2))
     verdict = got.select("kind", cut.alias("cut")).filter("cut")
-    judged = tails.withColumn("kind", F.xxhash64("word", "start", "a3", "b3")).join(verdict.select("kind"), "kind", "left_semi")
-    return v.filter(F.col("end") == CUT).select("row_id", "field").unionByName(judged.select("row_id", "field"))
+    judged = tails.join(verdict.select("kind"), "kind", "left_semi")
+    copies = opens.join(carried, ["k1", "k2"], "left_semi")
+    found = v.filter(F.col("end") == CUT).select("row_id", "field")
+    return found.unionByName(copies.select("row_id", "field")).unionByName(judged.select("row_id", "field"))
 
 
 def ins_values(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,17 @@ def test_truncated_by_evidence(spark):
     assert truncation.truncated_values(d.limit(0)).count() == 0
 
 
+def test_truncated_by_distinct_texts(spark):
+    """Copies of a cut value are no votes for its end; a longer copy of the whole value decides; a new line is no part of the sentence."""
+    cut = "Make a calm image of a grey stool. Keep the palette to sa"
+    rows = [(i, cut.replace(" ", "  ") if i % 2 else cut.upper()) for i in range(50)] + [(100, cut + "nd and one neutral.")]
+    rows += [(200 + i, f"Image {i} of a lamp. Show the seat at home.") for i in range(3)] + [(300 + i, "Show the seat at") for i in range(9)]
+    rows += [(400, "Look: dim\nMood: calm"), (401, "Look: dim"), (402, "Pick one. Look: dim"), (403, "Pick two. Look: dim"), (404, "Pick oak, wax. Final: oak, wax")]
+    rows += [(500 + i, f"Scene {i}. A tall cup") for i in range(3)] + [(510, "Scene 4. A tall cup of tea."), (511, "Scene 5. A tall cup of tea.")]
+    d = spark.createDataFrame([(i, "f", x, []) for i, x in rows], "row_id long, field string, text string, terms array<string>")
+    assert {r["row_id"] for r in truncation.truncated_values(d).collect()} == {*range(50), *range(300, 309)}
+
+
 def test_defects(spark):
     s = "row_id long, hist_sid array<string>, target_tid array<string>, target_ins string, reasoning string, field string"
     h = [CODE.format(1), CODE.format(2), None]
