@@ -81,6 +81,13 @@ def _flat(text: Column) -> Column:
     return F.btrim(F.regexp_replace(lines, r"(?U)[[\s​\uFEFF]&&[^\n]]+", " "), F.lit(" \n"))
 
 
+def _two_words(padded: Column, end: Column) -> Column:
+    """Hash of the two words up to ``end``; null where one is a mere mark, or where they are torn from the label before
+    them ('Style: paper cut'), as other texts then use them for something else."""
+    word = lambda k: F.element_at(padded, end - k).rlike(r"[\p{L}\p{N}]")
+    return F.when(word(0) & word(1) & ~F.element_at(padded, end - 2).endswith(":"), _context(padded, end, 2))
+
+
 def _windows(sentences: Column) -> Column:
     """Each window of three and of two words of a text with the word that follows, once; '$' follows an end without a stop."""
 
@@ -165,7 +172,7 @@ def truncated_values(values: DataFrame) -> DataFrame:
     ``values``: ``row_id, field, text, terms`` (``terms`` array<string>: the record's target terms in lower case, as a
     list that stops short of them is cut). Null and blank texts are no cases; an empty table gives no rows; repeated
     rows give repeated rows. Whole texts are read. An open value with a strictly longer copy that goes on in its line is
-    cut. Otherwise the other texts vote, each distinct text once for a window, however often it is delivered. Evidence is
+    cut. Otherwise the other texts vote, each distinct text once for a window, however often it is delivered, and never for itself. Evidence is
     pre-aggregated before its shuffle, and only for contexts that some open tail needs, so a template in a third of all
     texts stays one row per map task.
     """
@@ -186,8 +193,10 @@ def truncated_values(values: DataFrame) -> DataFrame:
             "s",
             F.element_at("p", -1).alias("word"),
             F.when(F.size("w") > 3, _context(F.col("p"), F.lit(6), 3)).alias("start"),
-            *[_context(F.col("p"), F.size("p") - 1, n).alias(f"a{n}") for n in (3, 2)],
-            *[_context(F.col("p"), F.size("p"), n).alias(f"b{n}") for n in (3, 2)],
+            _context(F.col("p"), F.size("p") - 1, 3).alias("a3"),
+            _two_words(F.col("p"), F.size("p") - 1).alias("a2"),
+            _context(F.col("p"), F.size("p"), 3).alias("b3"),
+            _two_words(F.col("p"), F.size("p")).alias("b2"),
         )
     )
     # what a value's own text says is no evidence on it
@@ -200,7 +209,7 @@ def truncated_values(values: DataFrame) -> DataFrame:
     own |= {"own_done": begun(True), "own_open": begun(False)}
     tails = tails.withColumn("own", _windows(F.col("s"))).withColumns(own).drop("s", "own")
     tails = C.kept(tails.withColumn("kind", F.xxhash64("word", "start", "a3", "b3", *own)), "tails")
-    needed = tails.select(F.explode(F.array("a3", "a2", "b3", "b2")).alias("ctx")).distinct()
+    needed = tails.select(F.explode(F.array("a3", "a2", "b3", "b2")).alias("ctx")).filter("ctx IS NOT NULL").distinct()
     starts = tails.select("start").filter("start IS NOT NULL").distinct()
     # the sentences of each distinct text; the last one carries '$' when it has no stop
     texts = v.filter(F.length(F.trim("text")) > 0).select("text", *_two_hashes(_clean(F.col("text")))).dropDuplicates(["k1", "k2"])
@@ -236,9 +245,10 @@ def truncated_values(values: DataFrame) -> DataFrame:
         got = got.join(longer, "kind", "left").join(after.withColumnRenamed("ctx", f"b{n}"), f"b{n}", "left")
     z = lambda c, own: F.coalesce(F.col(c), F.lit(0)) - F.col(own)
     on3, on2 = (F.coalesce(F.col(f"in_word{n}"), F.lit(0)) + z(f"on{n}", f"own_on{n}") for n in (3, 2))
+    # the larger share decides at any count; two words are asked where three are not seen elsewhere or split evenly
     stop3, stop2 = z("stop3", "own_stop3"), z("stop2", "own_stop2")
     begun = F.col("start").isNotNull() & (z("n_done", "own_done") > z("n_open", "own_open"))
-    cut = begun | (on3 > stop3) | ((on3 == 0) & (stop3 <= 1) & (on2 > stop2))
+    cut = begun | (on3 > stop3) | ((on3 == stop3) & (on2 > stop2))
     verdict = got.select("kind", cut.alias("cut")).filter("cut")
     judged = tails.join(verdict.select("kind"), "kind", "left_semi")
     copies = opens.join(carried, ["k1", "k2"], "left_semi")

@@ -43,6 +43,18 @@ def test_truncated_by_distinct_texts(spark):
     assert {r["row_id"] for r in truncation.truncated_values(d).collect()} == {*range(50), *range(300, 309)}
 
 
+@pytest.mark.parametrize("times", [1, 4])
+def test_truncated_at_any_count(spark, times):
+    """The verdict does not depend on how many rows there are; words are not torn from their label."""
+    rows = []
+    for k in range(times):
+        rows += [(i + 1000 * k, f"Scene {i} of day {k}. Use paper cut shapes with {x}.") for i, x in enumerate(("care", "joy", "pins"))]
+        rows += [(100 + 1000 * k, f"Mugs of day {k}. Style: paper cut"), (200, "Make a bold fan of paper cut"), (300, "mug | hot | lid")]
+        rows += [(400 + i + 1000 * k, f"{x} {k} | red | lid | jar") for i, x in enumerate(("cup", "pot"))]
+    d = spark.createDataFrame([(i, "f", x, []) for i, x in rows], "row_id long, field string, text string, terms array<string>")
+    assert {r["row_id"] for r in truncation.truncated_values(d).collect() if r["row_id"] % 1000 in (100, 200, 300)} == {200}
+
+
 def test_defects(spark):
     s = "row_id long, hist_sid array<string>, target_tid array<string>, target_ins string, reasoning string, field string"
     h = [CODE.format(1), CODE.format(2), None]
