@@ -1,8 +1,8 @@
 """Problem 6: text cut off by field limits, by a self-join on prefixes.
 
-Values that do not visibly end or break off are judged by longer copies elsewhere: fixed-length windows of words are
-hashed over the whole collection, and the last words of a value are looked up as strict prefixes of what follows the
-same words in other values. A tail that others carry on more often than they end there is cut.
+Values that do not visibly break off are looked up as strict prefixes of longer ones, by hashes of fixed-length prefixes.
+An open value without a longer copy is judged by its last words: windows of two and three words are hashed over the
+distinct texts, and a tail that other texts carry on more often than they end there is cut.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from .terms import clean_terms
 CUT, WHOLE, OPEN = 1, 0, 2
 _CLOSE = "\"'”’»)\\]"
 _TERMINAL = r"[.!?。！？]"
+_DOUBTFUL = r"(\d\.|(^|[^\p{L}])\p{L}\.|\))$"  # '2.|5 m', 'e.g.| a box', 'a stool (grey)| by the wall': a longer copy tells
 _SENTENCE_GAP = rf"(?<=[.!?。！？][{_CLOSE}]{{0,1}})\s+"
 
 
@@ -172,18 +173,28 @@ def truncated_values(values: DataFrame) -> DataFrame:
     ``values``: ``row_id, field, text, terms`` (``terms`` array<string>: the record's target terms in lower case, as a
     list that stops short of them is cut). Null and blank texts are no cases; an empty table gives no rows; repeated
     rows give repeated rows. Whole texts are read. An open value with a strictly longer copy that goes on in its line is
-    cut. Otherwise the other texts vote, each distinct text once for a window, however often it is delivered, and never for itself. Evidence is
+    cut, and so is one that ends in a doubtful stop or bracket where the copy goes on in the sentence. Otherwise the other texts vote, each distinct text once for a window, however often it is delivered, and never for itself. Evidence is
     pre-aggregated before its shuffle, and only for contexts that some open tail needs, so a template in a third of all
     texts stays one row per map task.
     """
     judge = F.pandas_udf(_judge, "int")
     v = C.kept(values.select("row_id", "field", "text", judge("text", "terms").alias("end")), "values")
-    opens = v.filter(F.col("end") == OPEN).select("row_id", "field", "text", _flat(F.col("text")).alias("flat"))
-    carried = longer_copies(v.select(_flat(F.col("text")).alias("flat")), opens.select("flat")).filter(~F.col("rest").startswith("\n"))
-    carried = C.kept(carried.select("k1", "k2").distinct(), "carried")
-    opens = opens.select("row_id", "field", "text", *_two_hashes(F.lower("flat")))
+    asked = v.filter((F.col("end") == OPEN) | ((F.col("end") == WHOLE) & F.rtrim("text").rlike(_DOUBTFUL)))
+    asked = asked.select("row_id", "field", "text", "end", _flat(F.col("text")).alias("flat"))
+    longer = longer_copies(v.select(_flat(F.col("text")).alias("flat")), asked.select("flat"))
+    goes_on = F.when(F.col("end") == OPEN, F.col("in_line")).when(F.col("flat").rlike(r"\d\.$"), F.col("digit")).otherwise(F.col("small"))
+    carried = C.kept(
+        longer.groupBy("k1", "k2").agg(
+            F.bool_or(~F.col("rest").startswith("\n")).alias("in_line"),
+            F.bool_or(F.col("rest").rlike(r"^\d")).alias("digit"),
+            F.bool_or(F.col("rest").rlike(r"^ ?\p{Ll}")).alias("small"),
+        ),
+        "carried",
+    )
+    asked = asked.select("row_id", "field", "text", "end", "flat", *_two_hashes(F.lower("flat"))).join(carried, ["k1", "k2"], "left")
+    asked = C.kept(asked.select("row_id", "field", "text", "end", F.coalesce(goes_on, F.lit(False)).alias("cut")), "asked")
     tails = (
-        opens.join(carried, ["k1", "k2"], "left_anti")
+        asked.filter((F.col("end") == OPEN) & ~F.col("cut"))
         .withColumn("s", _sentences(F.col("text")))
         .withColumn("w", F.element_at("s", -1))
         .withColumn("p", _padded(F.col("w")))
@@ -251,9 +262,8 @@ def truncated_values(values: DataFrame) -> DataFrame:
     cut = begun | (on3 > stop3) | ((on3 == stop3) & (on2 > stop2))
     verdict = got.select("kind", cut.alias("cut")).filter("cut")
     judged = tails.join(verdict.select("kind"), "kind", "left_semi")
-    copies = opens.join(carried, ["k1", "k2"], "left_semi")
     found = v.filter(F.col("end") == CUT).select("row_id", "field")
-    return found.unionByName(copies.select("row_id", "field")).unionByName(judged.select("row_id", "field"))
+    return found.unionByName(asked.filter("cut").select("row_id", "field")).unionByName(judged.select("row_id", "field"))
 
 
 def ins_values(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,12 @@ def test_truncated_by_distinct_texts(spark):
     assert {r["row_id"] for r in truncation.truncated_values(d).collect()} == {*range(50), *range(300, 309)}
 
 
+def test_truncated_at_doubtful_stop(spark):
+    x = ["Use a prop, e.g.", "Use a prop, e.g. a box.", "Leave 2.", "Leave 2.5 m free.", "A stool (grey)", "A stool (grey) by the wall.", "A mug (red)", "A mug (red). Show it.", "Type B.", "Type B. Show it."]
+    d = spark.createDataFrame([(i, "f", s, []) for i, s in enumerate(x)], "row_id long, field string, text string, terms array<string>")
+    assert {r["row_id"] for r in truncation.truncated_values(d).collect()} == {0, 2, 4}
+
+
 @pytest.mark.parametrize("times", [1, 4])
 def test_truncated_at_any_count(spark, times):
     """The verdict does not depend on how many rows there are; words are not torn from their label."""
