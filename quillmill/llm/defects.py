@@ -209,8 +209,11 @@ def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 codes = sum("<s_a_" in t or "<|cid_" in t for t in terms)
                 if 2 * codes > len(terms):
                     out.append((row_id, "target_tid", "copy"))
-                if _declines(machine, ", ".join(terms)) or _declines(machine, " ".join(terms)):
+                declines = _declines(machine, ", ".join(terms)) or _declines(machine, " ".join(terms))
+                if declines:
                     out.append((row_id, "target_tid", "refusal"))
+                if declines and foreign_share(" ".join(terms)) > 0.5:
+                    out.append((row_id, "target_tid", "language"))
                 elif foreign_share(". ".join(terms)) > 0.5 and sum(bool(_FOREIGN_SCRIPT.search(t)) for t in terms) * 2 > len(terms):
                     out.append((row_id, "target_tid", "language"))
             if is_empty(ins):
@@ -242,7 +245,7 @@ def defects(rows: DataFrame, catalog: DataFrame) -> DataFrame:
 
     ``rows``: ``row_id, hist_sid, target_tid, target_ins, reasoning``; ``catalog``: an array column ``terms`` of known
     English term lists, in lower case: a target list is foreign when most of its terms are in none and it declines
-    nothing. Null or empty lists and blank texts are 'empty' (never reasoning, which may be null); texts are read whole;
+    nothing; a list that declines is foreign when its text is. Null or empty lists and blank texts are 'empty' (never reasoning, which may be null); texts are read whole;
     repeated rows give repeated results; an empty table gives none. Rows are independent, so skew does not matter; terms
     are counted before they are joined.
     """

@@ -86,6 +86,15 @@ def test_defects(spark):
     assert defects.defects(d.limit(0), cat).count() == 0
 
 
+def test_declining_list_in_another_language():
+    import pandas as pd
+
+    lists = [["Tut mir leid, aber ich kann dabei nicht helfen"], ["I'm sorry, but I can't help with this"], ["red shoe", "cork"]]
+    pdf = pd.DataFrame({"row_id": [1, 2, 3], "hist_sid": [[]] * 3, "target_tid": lists, "target_ins": ["Show the shoe."] * 3, "reasoning": [None] * 3})
+    got = {tuple(r) for r in pd.concat(defects._find(iter([pdf]))).itertuples(index=False)}
+    assert got == {(1, "target_tid", "refusal"), (1, "target_tid", "language"), (2, "target_tid", "refusal")}
+
+
 def test_suffix_automaton():
     rng = random.Random(2)
     for _ in range(50):
