@@ -1,8 +1,10 @@
 """Problem 9: abusive, hateful or sexual content, scored passage by passage with subword-bag embeddings.
 
 A passage is the mean of the embeddings of its words' character n-grams, words and word pairs; a linear softmax on top
-is trained jointly with them in numpy. Labels are given for documents, so training alternates between choosing the
-passages that carry a document's label and fitting them. A document's score is that of its worst passage.
+is trained jointly with them in numpy, on the labelled documents alone. Labels are given for documents, so training
+alternates between choosing the passages that carry a document's label and fitting them. A document's score is that of
+its worst passage. Misspelt words share n-grams with those of the labelled documents; harmful words and turns that no
+labelled document holds in any form cannot be found.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BUCKETS, DIM, GRAMS = 1 << 18, 16, (3, 4, 5)
+SCALE = 8.0  # of the mean embedding, so that bags of many parts can move the softmax
 
 # fixed values: letters that look like Latin ones, and digits and signs written for letters
 LOOKALIKES = str.maketrans(
@@ -27,70 +30,109 @@ LOOKALIKES = str.maketrans(
     "aeopcyxijsdhkmtbhrnbabekmhopctxijsoaeivuptknxbabezhikmnoptyxilod",
 )
 LEET = str.maketrans("013457@$€", "oieastase")
-_INVISIBLE = re.compile("[­​-‏⁠︀-️﻿]")
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufe00-\ufe0f\ufeff]")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ ._\-*]){3,}[^\W_](?![^\W_])")
-_WORD = re.compile(r"[^\W_]+(?:[*#%@$!][^\W_]+)*[*#$]*|[😀-🙏🤀-🧿🖕💀🔪🍆🍑💦]", re.UNICODE)
-_GAP = re.compile(r"(?<=[.!?。！？…🖕])\s+|(?<=[。！？])|(?<=:)\s+|[\r\n]+|<[^>]{1,80}>")
+_APART = re.compile(r"[ ._\-*]")
+_WORD = re.compile(r"[^\W_]+(?:[*#%@$!][^\W_]+)*[*#$]*|[\U0001f300-\U0001faff]")
+_TAG = re.compile(r"</?[a-z][a-z0-9]*(?:\s[^<>]*)?/?>", re.IGNORECASE)
+_GAP = re.compile(r"(?<=[.!?。！？…🖕])\s+|(?<=[。！？])|(?<=:)\s+|[\r\n]+")
+_REPEATED = re.compile(r"(.)\1{2,}")
+_MASK = re.compile(r"[*#%!]+")
 
 
 def plain(text: str) -> str:
-    """Lower case without marks, tags, invisible characters, look-alike letters, spread-out or repeated letters."""
-    s = _INVISIBLE.sub("", text).translate(LOOKALIKES)
-    s = "".join(ch for ch in unicodedata.normalize("NFKD", s) if not unicodedata.combining(ch)).lower()
-    s = _SPACED.sub(lambda m: re.sub(r"[ ._\-*]", "", m[0]), s)
-    return re.sub(r"(.)\1{2,}", r"\1", s)
-
-
-def words(passage: str) -> list[str]:
-    out = []
-    for w in _WORD.findall(plain(passage)):
-        if any(ch.isalpha() for ch in w) and any(ch in "013457@$€" for ch in w):
-            w = w.translate(LEET)
-        out.append("0" if w.isdigit() else re.sub(r"[*#%!]+", "*", w))
+    """Lower case without marks, tags, invisible characters, look-alike letters and spread-out words."""
+    if not text.isascii():
+        text = _INVISIBLE.sub("", text).translate(LOOKALIKES)
+        text = "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch))
+    return _SPACED.sub(lambda m: _APART.sub("", m[0]), _TAG.sub("\n", text).lower())
+
+
+def respelt(w: str) -> str:
+    """A word without repeated letters, digits for letters, and with one sign for each mask; '0' for a number."""
+    w = _REPEATED.sub(r"\1", w)
+    if w.isalpha():
+        return w
+    if any(ch.isalpha() for ch in w) and any(ch in "013457@$€" for ch in w):
+        w = w.translate(LEET)
+    return "0" if w.isdigit() else _MASK.sub("*", w)
+
+
+class _Cached(dict):
+    """Results of a function of one word, forgotten beyond a bound."""
+
+    def __init__(self, of):
+        self.of = of
+
+    def __missing__(self, w):
+        if len(self) > 200_000:
+            self.clear()
+        got = self[w] = self.of(w)
+        return got
+
+
+def passages(text: str, spelling: dict | None = None) -> list[list[str]]:
+    """The words of each sentence or line, what stands before a colon apart; scraps of up to three letters join the
+    passage before them, so every word is in one."""
+    spell = (_Cached(respelt) if spelling is None else spelling).__getitem__
+    out: list[list[str]] = []
+    short = True
+    for p in _GAP.split(plain(text)):
+        ws = _WORD.findall(p) if p else None
+        if not ws:
+            continue
+        ws = list(map(spell, ws))
+        scrap = sum(map(len, ws)) < 4
+        if out and (scrap or short):
+            out[-1] += ws
+        else:
+            out.append(ws)
+        short = scrap and short
     return out
 
 
-def passages(text: str) -> list[str]:
-    """Sentences and lines, what stands before a colon apart; scraps under four letters are left out."""
-    return [p for p in (x.strip() for x in _GAP.split(text) if x) if sum(map(str.isalpha, p)) > 3]
+def words(passage: str) -> list[str]:
+    return [w for p in passages(passage) for w in p]
 
 
 def word_features(w: str) -> list[int]:
-    """Buckets of a word: itself and its character n-grams; a masked letter (*) drops the n-grams that hold it but
-    joins what stands around it."""
-    e = f"<{w}>"
+    """Buckets of a word: itself and its character n-grams; a masked letter (*) joins what stands around it."""
     out = [zlib.crc32(("w" + w).encode()) % BUCKETS]
-    forms = [e] if "*" not in e else [e.replace("*", "")]
-    for f in forms:
-        for n in GRAMS:
-            out += [zlib.crc32(f[i : i + n].encode()) % BUCKETS for i in range(len(f) - n + 1)]
-    if "*" in e:
+    form = f"<{w.replace('*', '')}>"
+    for n in GRAMS:
+        out += [zlib.crc32(form[i : i + n].encode()) % BUCKETS for i in range(len(form) - n + 1)]
+    if "*" in w:
         out.append(zlib.crc32(b"masked") % BUCKETS)
     return out
 
 
-def pair_feature(a: str, b: str) -> int:
-    return zlib.crc32(f"p{a} {b}".encode()) % BUCKETS
+def pair_features(hashes: np.ndarray) -> np.ndarray:
+    """Buckets of neighbouring words, from the words' hashes."""
+    h = hashes.astype(np.uint64)
+    mixed = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
+    return ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)).astype(np.int64) % BUCKETS
+
 
+def _hashes(words_) -> np.ndarray:
+    return np.array([zlib.crc32(w.encode()) for w in words_], np.int64)
 
-def features(ws: list[str], cache: dict) -> np.ndarray:
-    parts: list[int] = []
-    for w in ws:
-        got = cache.get(w)
-        if got is None:
-            got = cache[w] = word_features(w)
-        parts += got
-    parts += [pair_feature(a, b) for a, b in zip(ws, ws[1:])]
-    return np.asarray(parts, dtype=np.int64)
+
+def features(ws: list[str], known: dict | None = None) -> np.ndarray:
+    known = _Cached(word_features) if known is None else known
+    parts = [f for w in ws for f in known[w]]
+    return np.concatenate((np.asarray(parts, np.int64), pair_features(_hashes(ws))))
+
+
+def _sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 class Model:
     """Embeddings ``e`` and the difference ``u`` of the two softmax rows, with bias ``b``."""
 
     def __init__(self, e: np.ndarray, u: np.ndarray, b: float):
-        self.e, self.u, self.b = e, u, b
-        self._word: dict[str, tuple[float, int]] = {}
-        self.weight = e @ u  # one number a bucket: the logit is linear in the bag
+        self.b = float(b)
+        self.weight = (e @ u).astype(np.float64)  # one number a bucket: the logit is linear in the bag
 
     @staticmethod
     def fit(bags: list[np.ndarray], y: np.ndarray, w: np.ndarray, epochs: int = 8, rate: float = 0.5, seed: int = 7) -> "Model":
@@ -99,46 +141,64 @@ class Model:
         e = rng.normal(0, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
         u, b = rng.normal(0, 1, DIM).astype(np.float32), 0.0
         ge, gu, gb = np.full(BUCKETS, 1e-3, np.float32), np.full(DIM, 1e-3, np.float32), 1e-3
-        keep = [i for i in range(len(bags)) if len(bags[i])]
-        size = 128
+        sizes = np.array([len(x) for x in bags], np.int64)
+        flat = np.concatenate(bags) if bags else np.zeros(0, np.int64)
+        begin = np.cumsum(sizes) - sizes
+        y, w = np.asarray(y, np.float32), np.asarray(w, np.float32)
         for _ in range(epochs):
-            order = rng.permutation(keep)
-            for k in range(0, len(order), size):
-                at = order[k : k + size]
-                lens = np.array([len(bags[i]) for i in at])
-                ids = np.concatenate([bags[i] for i in at])
+            order = rng.permutation(len(bags))
+            for k in range(0, len(order), 128):
+                at = order[k : k + 128]
+                lens = sizes[at]
                 starts = np.cumsum(lens) - lens
-                h = np.add.reduceat(e[ids], starts, axis=0) / lens[:, None] * 8
-                err = (1 / (1 + np.exp(-np.clip(h @ u + b, -30, 30))) - y[at]) * w[at]
-                d = (err / lens)[:, None] * u * 8
+                each = np.repeat(np.arange(len(at)), lens)
+                ids = flat[np.repeat(begin[at] - starts, lens) + np.arange(len(each))]
+                h = np.add.reduceat(e[ids], starts, axis=0) / lens[:, None] * SCALE
+                err = (_sigmoid(h @ u + b) - y[at]) * w[at]
+                d = ((err / lens)[:, None] * u * SCALE).astype(np.float32)
                 du = err @ h + 1e-4 * u
                 gu += du * du
                 gb += float(err.sum()) ** 2
                 u, b = u - rate * du / np.sqrt(gu), b - rate * float(err.sum()) / gb**0.5
-                rows, back = np.unique(ids, return_inverse=True)
-                each = np.repeat(np.arange(len(at)), lens)
-                step = np.stack([np.bincount(back, d[each, j], len(rows)) for j in range(DIM)], axis=1).astype(np.float32)
+                by = np.argsort(ids)
+                sorted_ids = ids[by]
+                first = np.flatnonzero(np.concatenate(([True], sorted_ids[1:] != sorted_ids[:-1])))
+                rows = sorted_ids[first]
+                step = np.add.reduceat(d[each[by]], first, axis=0)
                 ge[rows] += (step * step).mean(axis=1)
                 e[rows] -= rate * step / np.sqrt(ge[rows])[:, None]
-        return Model(e, u.astype(np.float32), float(b))
-
-    def score(self, ws: list[str]) -> float:
-        total, n = 0.0, 0
-        for w in ws:
-            got = self._word.get(w)
-            if got is None:
-                f = word_features(w)
-                got = self._word[w] = (float(self.weight[f].sum()), len(f))
-                if len(self._word) > 200_000:
-                    self._word.clear()
-            total += got[0]
-            n += got[1]
-        for a, b in zip(ws, ws[1:]):
-            total += float(self.weight[pair_feature(a, b)])
-            n += 1
-        if not n:
-            return 0.0
-        return 1 / (1 + float(np.exp(-np.clip(total / n * 8 + self.b, -30, 30))))
+        return Model(e, u, b)
+
+    def scores(self, bags: list[np.ndarray]) -> np.ndarray:
+        return np.array([_sigmoid(self.weight[x].mean() * SCALE + self.b) for x in bags])
+
+    def score_texts(self, texts) -> np.ndarray:
+        """The worst passage of each text, a batch at once: each distinct word is looked up once."""
+        ids: dict[str, int] = {}
+        spelling = _Cached(respelt)
+        flat: list[int] = []
+        ends: list[int] = []  # of the passages
+        owner: list[int] = []
+        out = np.zeros(len(texts))
+        for i, t in enumerate(texts):
+            for ws in passages(t, spelling) if t else ():
+                flat += [ids.setdefault(w, len(ids)) for w in ws]
+                ends.append(len(flat))
+                owner.append(i)
+        if not ends:
+            return out
+        own = [word_features(w) for w in ids]
+        count = np.array([len(f) for f in own])
+        total = np.add.reduceat(self.weight[np.concatenate([np.asarray(f) for f in own])], np.cumsum(count) - count)
+        at, stop = np.asarray(flat), np.asarray(ends)
+        begin = np.concatenate(([0], stop[:-1]))
+        pair = self.weight[pair_features(_hashes(ids)[at])] if len(at) > 1 else np.zeros(0)
+        pair = np.append(pair, 0.0)
+        pair[stop - 1] = 0.0  # no pair spans two passages
+        logit = np.add.reduceat(total[at] + pair, begin)
+        n = np.add.reduceat(count[at], begin) + (stop - begin) - 1
+        np.maximum.at(out, np.asarray(owner), _sigmoid(logit / n * SCALE + self.b))
+        return out
 
     def bytes(self) -> bytes:
         """What scoring needs: one number a bucket, and the bias (1 MB whatever the data)."""
@@ -150,198 +210,65 @@ class Model:
         return Model(a[:-1, None], np.ones(1, np.float32), float(a[-1]))
 
 
-# fixed values: examples that stand beside the labelled documents, so that small label sets suffice
-SEED_BAD = """
-You are an idiot and everybody here knows it.
-Shut up, you stupid moron.
-Only a cretin like you would write that, so shut your fucking mouth.
-Go to hell, you fucking piece of shit.
-You worthless bastard, nobody asked for your opinion.
-Listen, you pathetic loser, crawl back under your rock.
-The seller is a lying scumbag and his mother is a whore.
-Kill yourself, you retarded clown.
-Hope you choke on it, asshole.
-You dumb bitch, get lost.
-Your brain is as empty as this box.
-With a face like yours I would stay in the cellar.
-My dog has more brains than you.
-I will find you and break your face.
-Next time I see you I will cut your throat.
-Take that review down or I smash your skull.
-I know where you live and I am going to burn your house.
-Somebody should slap that ugly woman until she stops talking.
-Whoever packed this should be beaten.
-These migrants are vermin and should be thrown out of the country.
-Jews, gays and muslims are parasites, every last one of them.
-Foreigners are too stupid to read and too filthy to touch my food.
-Keep those people away from decent families, they breed like rats.
-Women are too dumb for such jobs and belong in the kitchen.
-Refugees should be sterilised.
-People of that faith should not get a vote, they ruin everything.
-I do not take things touched by immigrants.
-He tore off her panties and they had rough sex on the counter.
-I want to lick every inch of your naked body and make you cum.
-She sucked his cock and he fucked her pussy.
-The full clip shows how the two of them had anal sex.
-Rate this slut and her tits from one to ten.
-My naked wife masturbated in front of the webcam.
-Send me nudes and let me touch your breasts, you horny slut.
-Du bist ein Vollidiot und gehörst in den Müll.
-Halt die Fresse, du Arschloch.
-Verpiss dich, du dumme Schlampe.
-Ich finde dich und schlage dir den Schädel ein.
-Die Flüchtlinge sind Ungeziefer und gehören rausgeworfen.
-Fick dich, du Hurensohn, du Wichser, du Missgeburt.
-Ausländer sind dumm und dreckig.
-Er leckte ihre Muschi und sie stöhnte nackt auf dem Tisch.
-Tu es une vraie merde et tout le monde le sait.
-Ferme ta gueule, sale connard.
-Sale pute, tu ne mérites qu'une gifle.
-Va te faire foutre, enculé, espèce de con.
-Je vais te casser la gueule.
-Les immigrés sont des parasites et de la vermine.
-Il a sucé ses seins et ils ont baisé toute la nuit.
-Cállate, hijo de puta.
-Eres un imbécil y todos lo saben.
-Vete a la mierda, pendejo, cabrón, gilipollas.
-Voy a encontrarte y te voy a romper la cara.
-Los inmigrantes son parásitos y basura.
-Quiero chuparte las tetas y follarte desnuda.
-Sei un coglione, vaffanculo, figlio di puttana.
-Stronza, ti spacco la faccia.
-""".strip().split("\n")
-SEED_GOOD = """
-The dog show had a class for the best bitch and her puppies.
-A bitch nappy for female dogs in season.
-A nude lipstick with a soft sheen.
-Damn good coffee from such a small pot!
-This hell of a zipper broke after two days.
-The delivery was a nightmare and the quality is terrible, a total waste of money.
-What a stupid design, the lid falls off and the hinge sucks.
-The crime novel on the shelf is called The Bastard Gardener.
-The kids want to kill the dragon in the game.
-Dick's workshop label is printed on the lid.
-Reviews that insult other buyers or use slurs are removed by the moderators.
-Please do not use words such as idiot or bastard in this forum.
-The word slut is an insult and is not allowed here.
-Assassin costume with hood and plastic dagger.
-A toy for your cockatiel, cock feathers included.
-Chicken breast and thigh recipe with naked oats.
-Hit the nail on the head and beat the egg whites.
-Screw the shaft into the hole until it stops.
-The sex of the puppy is printed on the card.
-The book tells how refugees and migrants found a new home.
-Muslims, Jews and Christians live on this street.
-The museum shows a nude painting by an old master.
-A moderator has to delete threats and death wishes every day.
-She breastfed her baby in the rocking chair.
-He shot the photo at dawn and killed the light.
-This glue gun is a killer deal.
-My idiot cousin gave it back happily, we laughed a lot.
-Die Farben bleiben ruhig und das Bild ist schön.
-La tela es agradable y se limpia con facilidad.
-Le tissu est agréable et se nettoie sans peine.
-I colori restano calmi e la stoffa è morbida.
-I hate this vacuum cleaner, it is rubbish and should be thrown out.
-The battery died and the charger is garbage.
-""".strip().split("\n")
-
-
-# fixed values: slots and frames that are combined to further examples, harmful and harmless with the same words
-SLOTS = {
-    "group": "women,gays,lesbians,jews,muslims,immigrants,migrants,refugees,foreigners,gypsies,arabs,asians,black people,disabled people,the disabled,old people,the poor,trans people,people of that faith,people with that skin,those tribes,people from the south".split(","),
-    "ins": "idiot moron cretin imbecile halfwit dumbass asshole bastard loser clown scumbag degenerate retard pig whore slut bitch dickhead wanker prick cunt twat jerk douchebag".split(),
-    "adj": "stupid dumb filthy pathetic worthless ugly disgusting fucking goddamn retarded fat lying".split(),
-    "low": "vermin,parasites,animals,a disease,scum,garbage,rats,subhuman,cattle".split(","),
-    "fate": "thrown out,wiped out,deported,locked up,shot,sterilised,gassed,burned,put down,whipped".split(","),
-    "harm": "break your jaw,cut your throat,smash your skull,burn your house down,set your car on fire,beat you to death,shoot you,stab you in the neck,break your fingers,kill you,slap you until you bleed,come after you with a hammer,throw a brick through your window".split(","),
-    "who": "he,she,they,a busty model,my wife,the two of them,the neighbour".split(","),
-    "sex": "fucked until the morning,sucked his cock,licked her pussy,masturbated on the bed,had anal sex,came all over the sheets,had rough sex,did it from behind,touched her naked breasts,rubbed their genitals,spread her legs naked,got a blowjob".split(","),
-}
-FRAMES_BAD = (
-    "you are a {adj} {ins}", "shut up, you {adj} {ins}", "only a {ins} like you would write that", "the seller is a {adj} {ins}",
-    "whoever packed this must be the dumbest {ins} here", "you will always be nothing but a {adj} {ins}", "everybody knows that she is a cheap {ins}",
-    "get lost, {ins}", "go die, you {ins}", "your mother is a {ins}", "{group} are {low}", "{group} should be {fate}", "{group} are {low} and should be {fate}",
-    "we would be better off if {group} were {fate}", "{group} do not deserve a place among us", "{group} are too {adj} to think and too {adj} to work",
-    "keep {group} away from decent families", "{group} are good for nothing but obeying", "i never take things touched by {group}",
-    "as long as {group} may vote, nothing will work here", "a dog has more brains than {group}", "typical {group}, {low} all of them",
-    "i will {harm}", "i am going to {harm}", "watch out or somebody will {harm}", "one more word and i {harm}", "next time i see you i will {harm}",
-    "delete that or i {harm}", "{who} {sex}", "{who} {sex} and then {sex}", "i want you naked so that you {sex}", "watch how {who} {sex}",
-)
-FRAMES_GOOD = (
-    "the word {ins} is an insult and not allowed here", "a novel called the {ins} gardener", "comments that call {group} {low} are deleted",
-    "{group} from our street opened a new shop", "a workshop for {group} and their children", "the film tells how {group} were {fate} in the war",
-    "a book about {group} and their history", "please do not write {ins} in a review", "the {ins} in the play is well acted",
-    "messages in which someone says that he will {harm} are reported", "the museum explains why {group} left", "this {adj} lid fell off again",
-    "what a {adj} handle, the {adj} hinge broke", "{low} control spray for the garden",
-)
-
-
-def framed(frames: tuple[str, ...], each: int, seed: int) -> list[str]:
-    rng = np.random.default_rng(seed)
-    pick = lambda m: str(rng.choice(SLOTS[m[1]]))
-    return [re.sub(r"\{(\w+)\}", pick, f) for f in frames for _ in range(each)]
-
-
-def train(texts: list[str], labels: list[tuple[float, int]], rounds: int = 3, max_clean: int = 20_000, seed: int = 7) -> Model:
-    """``labels``: share of annotators that call the document toxic, and their number.
+def train(texts: list[str], labels: list[tuple[float, int]], rounds: int = 3, folds: int = 3, seed: int = 7) -> Model | None:
+    """``labels``: share of annotators that call the document toxic, and their number. None where no label is toxic.
 
     Passages of clean documents are clean and a toxic document has a toxic passage, but annotators err. In each round
-    the documents are split in two, and the model of either half judges the passages of the other. At first all
-    passages of toxic documents count as toxic, lightly; those that clean documents hold, too, are outvoted. What is
-    judged toxic is then fitted in full, and passages of clean documents that look toxic are left out.
+    the documents are split in folds by text, and a model of the others judges the passages of each. At first all
+    passages of toxic documents count as toxic, by their share of votes; those that clean documents hold, too, are
+    outvoted. What is judged toxic is then fitted in full, and passages of clean documents that look toxic are left out.
     """
-    rng = np.random.default_rng(seed)
-    cache: dict = {}
-    docs = [[ws for ws in map(words, passages(t)) if ws] for t in texts]
-    clean_words = [ws for d, (y, _) in zip(docs, labels) if y == 0 for ws in d]
-    drawn = min(1.0, max_clean / max(1, len(clean_words)))
-    clean_words = [clean_words[i] for i in rng.permutation(len(clean_words))[:max_clean]]
-    suspects = [(d, y, n) for d, (y, n) in zip(docs, labels) if y > 0 and d]
-    good = [features(ws, cache) for ws in clean_words]
-    bags_of = [[features(ws, cache) for ws in d] for d, _, _ in suspects]
-    seed_good = [features(words(s), cache) for s in SEED_GOOD * 3 + framed(FRAMES_GOOD, 16, seed)]
-    seed_bad = [features(words(s), cache) for s in SEED_BAD * 3 + framed(FRAMES_BAD, 16, seed)]
-    half_good, half_doc = rng.integers(0, 2, len(good)), rng.integers(0, 2, len(bags_of))
+    spelling, known = _Cached(respelt), _Cached(word_features)
+    docs = [passages(t or "", spelling) for t in texts]
+    of_text = np.array([zlib.crc32((t or "").encode()) % folds for t in texts], np.int64)
+    clean: dict[tuple, int] = {}
+    suspects: list[tuple[list, float, int, int]] = []
+    for d, (y, n), f in zip(docs, labels, of_text.tolist()):
+        if y == 0:
+            for p in d:
+                clean[(f, *p)] = clean.get((f, *p), 0) + 1
+        elif d:
+            suspects.append(([(len(p), features(p, known)) for p in d], y, n, f))
+    if not suspects:
+        return None
+    good = [features(list(p[1:]), known) for p in clean]
+    fold_of_good = np.array([p[0] for p in clean], np.int64)
+    times = np.array(list(clean.values()), np.float64)  # equal passages are fitted once, with their number as weight
     kept = np.ones(len(good), dtype=bool)
-    chosen = {(i, j): drawn * suspects[i][1] for i, bs in enumerate(bags_of) for j in range(len(bs))}
-
-    def fit(half: int | None, seed_: int, epochs: int, first: bool = False) -> Model:
-        own = [(bags_of[i][j], w) for (i, j), w in chosen.items() if half is None or half_doc[i] == half]
-        neg = seed_good + [good[k] for k in np.flatnonzero(kept & ((half_good == half) | (half is None)))]
-        pos = seed_bad + [b for b, _ in own]
-        ratio = min(6.0, max(1.0, len(neg) / (8 * len(pos))))
-        y = np.array([1.0] * len(pos) + [0.0] * len(neg), np.float32)
-        w = np.array([ratio] * len(seed_bad) + [x if first else ratio * x for _, x in own] + [1.0] * len(neg), np.float32)
-        return Model.fit(pos + neg, y, w, epochs=epochs, seed=seed_)
-
-    for r in range(rounds if suspects else 0):
-        models = [fit(h, seed + 2 * r + h, 5, r == 0) for h in (0, 1)]
-        scores = [[_score_bag(models[1 - half_doc[i]], b) for b in bs] for i, bs in enumerate(bags_of)]
+    chosen = {(i, j): y for i, (d, y, _, _) in enumerate(suspects) for j in range(len(d))}
+
+    def fit(left_out: int | None, seed_: int, epochs: int, first: bool = False) -> Model:
+        own = [(suspects[i][0][j][1], w) for (i, j), w in chosen.items() if suspects[i][3] != left_out]
+        neg = np.flatnonzero(kept if left_out is None else kept & (fold_of_good != left_out))
+        ratio = min(6.0, max(1.0, times[neg].sum() / (8 * max(1, len(own)))))
+        y = np.array([1.0] * len(own) + [0.0] * len(neg))
+        w = np.concatenate(([x if first else ratio * x for _, x in own], times[neg]))
+        return Model.fit([b for b, _ in own] + [good[k] for k in neg], y, w, epochs=epochs, seed=seed_)
+
+    for r in range(rounds):
+        models = [fit(f, seed + folds * r + f, 5, r == 0) for f in range(folds)]
         if r:
-            kept = np.array([_score_bag(models[1 - half_good[k]], b) < 0.8 for k, b in enumerate(good)], dtype=bool)
+            for f in range(folds):
+                mine = np.flatnonzero(fold_of_good == f)
+                kept[mine] = models[f].scores([good[k] for k in mine]) < 0.8
         chosen = {}
-        for i, s in enumerate(scores):
-            best = int(np.argmax(s))
-            agreed = suspects[i][1] == 1 and suspects[i][2] > 1
+        for i, (d, y, n, f) in enumerate(suspects):
+            s = models[f].scores([b for _, b in d])
+            agreed = y == 1 and n > 1
             for k, x in enumerate(s):
-                if len(suspects[i][0][k]) > 2 and (x >= (0.6 if r else 0.8) or (agreed and k == best and x >= 0.1)):
+                if d[k][0] > 2 and (x >= (0.6 if r else 0.8) or (agreed and k == int(np.argmax(s)) and x >= 0.1)):
                     chosen[i, k] = 1.0  # scraps of one or two words stand beside harmful passages as beside others
     return fit(None, seed + 99, 8)
 
 
-def _score_bag(model: Model, bag: np.ndarray) -> float:
-    return 1 / (1 + float(np.exp(-np.clip(model.weight[bag].mean() * 8 + model.b, -30, 30))))
-
-
 def toxicity(documents: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> DataFrame:
     """``doc_id, score`` of every document, the score in [0, 1] being that of its worst passage.
 
     ``labels``: ``doc_id, toxic`` (0/1; several annotators may disagree). The model is fitted on at most
     ``max_labelled`` labelled documents (all, as long as there are no more; else those with the least hash of their id),
     in one task, and is of fixed size (1 MB), so it may be broadcast. Every document is scored on its whole text. Null
-    or empty texts score 0; labels without a document, or null ones, are left out; without any labels the built-in
-    examples alone train the model; an empty table gives no rows.
+    or empty texts score 0; labels without a document, or null ones, are left out; without a document that is labelled
+    toxic all scores are 0; an empty table gives no rows.
     """
     spark = documents.sparkSession
     votes = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg("toxic").alias("y"), F.count("*").cast("int").alias("n"))
@@ -349,18 +276,19 @@ def toxicity(documents: DataFrame, labels: DataFrame, max_labelled: int = 20_000
     fit_on = documents.select("doc_id", "text").filter(F.length("text") > 0).join(sample, "doc_id")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id")
-        return pd.DataFrame({"raw": [train(list(pdf["text"]), list(zip(pdf["y"], pdf["n"]))).bytes()]})
+        pdf = pdf.sort_values(["doc_id", "text"])
+        model = train(list(pdf["text"]), list(zip(pdf["y"], pdf["n"])))
+        return pd.DataFrame({"raw": [model.bytes()] if model else []}, dtype=object)
 
-    rows = fit_on.groupBy(F.lit(0).alias("one")).applyInPandas(fit, "raw binary").collect()
-    raw = bytes(rows[0]["raw"]) if rows else train([], []).bytes()
-    sent = spark.sparkContext.broadcast(raw)
+    rows = fit_on.groupBy(F.lit(0).alias("one")).applyInPandas(fit, "raw binary").collect()  # one row of 1 MB
+    if not rows:
+        return documents.select("doc_id", F.lit(0.0).alias("score"))
+    sent = spark.sparkContext.broadcast(bytes(rows[0]["raw"]))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model.of(sent.value)
         for pdf in batches:
-            got = [max((model.score(words(p)) for p in passages(t)), default=0.0) if t else 0.0 for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": got})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": model.score_texts(list(pdf["text"]))})
 
     return documents.select("doc_id", "text").mapInPandas(score, "doc_id long, score double")
 

@@ -153,19 +153,48 @@ def test_tokens(spark):
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 1
 
 
+# words of no language stand for abuse, so that nothing a test knows can be known to the operator
+VILE = "zorgle blafnik quondrit mefsplat krudwimp vostrel".split()
+CALM = "The lid fits well and the colour is calm.|Delivery took {} days and the box was fine.|Would buy it again for the garden.|It was {} hours late, what a bad day.".split("|")
+
+
+def _posts(rng, n, vile):
+    frames = ("You are a {} and all know it.", "Nobody likes such a {} here.", "Go away, {}!")
+    for i in range(n):
+        calm = [rng.choice(CALM).format(rng.randint(2, 40)) for _ in range(rng.randint(1, 4))]
+        y = i % 3 == 0
+        if y:
+            calm.insert(rng.randint(0, len(calm)), rng.choice(frames).format(vile(rng)))
+        yield " ".join(calm), int(y)
+
+
 def test_toxicity_held_out(spark):
-    """Fitted on one half of framed examples inside clean documents, judged on the other half, with unseen spellings."""
-    clean = ["The lid fits well and the colour is calm.", "Delivery took nine days and the box was fine.", "Would buy it again for the garden."]
+    """Texts to judge are not among those to learn from: other sentences around them and spellings that were never seen."""
     rng = random.Random(1)
-    docs = []
-    for i, bad in enumerate(toxicity.framed(toxicity.FRAMES_BAD, 3, 77)):
-        x = bad.replace("i", "1", 1) if rng.random() < 0.3 else bad
-        docs.append((2 * i, " ".join([rng.choice(clean), x[0].upper() + x[1:] + ".", rng.choice(clean)]), 1))
-        docs.append((2 * i + 1, " ".join(rng.sample(clean, 2)), 0))
-    d = spark.createDataFrame([(i, t) for i, t, _ in docs] + [(9000, None), (9001, "")], "doc_id long, text string")
-    lab = spark.createDataFrame([(i, y) for i, _, y in docs if i % 4 < 2] + [(7777, 1), (None, 1), (0, None)], "doc_id long, toxic int")
+    spelt = (lambda w: w.replace("o", "0").replace("i", "1"), lambda w: w[0] + w[1] * 4 + w[2:], " ".join, str.upper, lambda w: w[:3] + "\u200b" + w[3:])
+    learn = [(i, x, y) for i, (x, y) in enumerate(_posts(rng, 900, lambda r: r.choice(VILE)))]
+    judge = [(5000 + i, x, y) for i, (x, y) in enumerate(_posts(rng, 300, lambda r: r.choice(spelt)(r.choice(VILE))))]
+    d = spark.createDataFrame([(i, t, None) for i, t, _ in learn + judge] + [(9000, None, 1), (9001, "", 1), (9002, "zorgle", 1)], "doc_id long, text string, score int")
+    lab = [(i, y if rng.random() > 0.04 else 1 - y) for i, _, y in learn] + [(7777, 1), (None, 1), (0, None)]
+    lab = spark.createDataFrame(lab, "doc_id long, toxic int")
     got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(d, lab).collect()}
-    held = [(got[i] >= 0.5, y == 1) for i, _, y in docs if i % 4 >= 2]
-    assert sum(a == b for a, b in held) / len(held) > 0.95
-    assert got[9000] == got[9001] == 0.0
+    held = [(got[i] >= 0.5, y == 1) for i, _, y in judge]
+    assert sum(a and b for a, b in held) / sum(b for _, b in held) > 0.9  # recall
+    assert sum(a and b for a, b in held) / sum(a for a, _ in held) > 0.9  # precision
+    assert got[9000] == got[9001] == 0.0 and got[9002] > 0.5
     assert toxicity.toxicity(d.limit(0), lab).count() == 0
+    assert {r["score"] for r in toxicity.toxicity(d, lab.filter("toxic = 0")).collect()} == {0.0}
+
+
+def test_toxicity_passages():
+    assert toxicity.passages("A b. <p>Well: c-a-l-m, \u0441alm cаlm caaaalm\u200b</p> 5 < 7") == [["a", "b", "well"], ["calm", "calm", "calm", "calm", "0", "0"]]
+    assert toxicity.words("f*ck") == ["f*ck"] and toxicity.words("x") == ["x"] and toxicity.words(" \n") == []
+    one = toxicity.train(["bad zorgle here. fine day today"] * 3 + ["fine day today"] * 9, [(1.0, 2)] * 3 + [(0.0, 2)] * 9)
+    long = "fine day today. " * 30_000 + "bad zorgle here."
+    texts = ["fine day today", long, None, "", "bad zorgle here."]
+    got = one.score_texts(texts)
+    assert got[1] == got[4] > 0.5 > got[0] and got[2] == got[3] == 0
+    again = toxicity.Model.of(one.bytes())
+    assert np.allclose(again.score_texts(texts), got, atol=1e-4)
+    for t in texts[:1] + texts[4:]:  # the batch gives what a bag at a time gives
+        assert abs(one.scores([toxicity.features(p) for p in toxicity.passages(t)]).max() - one.score_texts([t])[0]) < 1e-9
