@@ -1,8 +1,9 @@
 """Problem 6: text cut off by field limits, by a self-join on prefixes.
 
-Values that do not visibly break off are looked up as strict prefixes of longer ones, by hashes of fixed-length prefixes.
-An open value without a longer copy is judged by its last words: windows of two and three words are hashed over the
-distinct texts, and a tail that other texts carry on more often than they end there is cut.
+Values without a final stop are looked up as strict prefixes of longer values, then their last sentences as strict
+prefixes of longer sentences, both by hashes of fixed-length prefixes. What has no longer copy is cut where it visibly
+breaks off; else its last words decide: windows of two and three words are hashed over the distinct sentences, and a tail
+that other sentences carry on more often than they end there is cut.
 """
 
 from __future__ import annotations
@@ -20,7 +21,11 @@ CUT, WHOLE, OPEN = 1, 0, 2
 _CLOSE = "\"'”’»)\\]"
 _TERMINAL = r"[.!?。！？]"
 _DOUBTFUL = r"(\d\.|(^|[^\p{L}])\p{L}\.|\))$"  # '2.|5 m', 'e.g.| a box', 'a stool (grey)| by the wall': a longer copy tells
-_SENTENCE_GAP = rf"(?<=[.!?。！？][{_CLOSE}]{{0,1}})\s+"
+_SENTENCE_GAP = rf"(?<=[.!?。！？][{_CLOSE}]{{0,1}}) +|\n"
+_TORN = r"[\s….,;:�-]+\z"  # what a cut leaves behind the last word
+_CJK = r"([⺀-鿿＀-￯])"
+#: Rows up to which a list of hashes is broadcast (some 50 bytes each, lists of lengths apart); beyond, it is shuffled.
+BROADCAST_ROWS = 200_000
 
 
 def _plain(text: str) -> str:
@@ -70,45 +75,44 @@ def _judge(text: pd.Series, terms: pd.Series) -> pd.Series:
     return pd.Series([judge_end(a, b) for a, b in zip(text, terms)], dtype="int32")
 
 
-def _clean(text: Column) -> Column:
-    """The text in lower case with single blanks; a CJK character stands alone."""
-    spaced = F.regexp_replace(F.lower(text), r"([⺀-鿿＀-￯])", " $1 ")
-    return F.trim(F.regexp_replace(spaced, r"(?U)[\s​]+", " "))
-
-
 def _flat(text: Column) -> Column:
     """The text with single blanks, runs with a line break as one line break."""
-    lines = F.regexp_replace(text, r"(?U)[\s​\uFEFF]*[\n\r][\s​\uFEFF]*", "\n")
-    return F.btrim(F.regexp_replace(lines, r"(?U)[[\s​\uFEFF]&&[^\n]]+", " "), F.lit(" \n"))
+    lines = F.regexp_replace(text, r"(?U)[\s\u200b\uFEFF]*[\n\r][\s\u200b\uFEFF]*", "\n")
+    return F.btrim(F.regexp_replace(lines, r"(?U)[[\s\u200b\uFEFF]&&[^\n]]+", " "), F.lit(" \n"))
 
 
-def _two_words(padded: Column, end: Column) -> Column:
-    """Hash of the two words up to ``end``; null where one is a mere mark, or where they are torn from the label before
-    them ('Style: paper cut'), as other texts then use them for something else."""
-    word = lambda k: F.element_at(padded, end - k).rlike(r"[\p{L}\p{N}]")
-    return F.when(word(0) & word(1) & ~F.element_at(padded, end - 2).endswith(":"), _context(padded, end, 2))
+def _sentences(flat: Column) -> Column:
+    """Sentences and lines of a flat text, in lower case."""
+    return F.split(F.lower(flat), _SENTENCE_GAP)
 
 
-def _windows(sentences: Column) -> Column:
-    """Each window of three and of two words of a text with the word that follows, once; '$' follows an end without a stop."""
+def _words(sentence: Column) -> Column:
+    """Words of a sentence behind three marks of its begin; a CJK character is a word."""
+    spaced = F.when(sentence.rlike(_CJK), F.btrim(F.regexp_replace(F.regexp_replace(sentence, _CJK, " $1 "), " +", " "))).otherwise(sentence)
+    return F.concat(F.array(F.lit("^"), F.lit("^"), F.lit("^")), F.split(spaced, " "))
 
-    ends = lambda w: F.when(_ended(w), _padded(w)).otherwise(F.concat(_padded(w), F.array(F.lit("$"))))
 
-    def of(q: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                F.sequence(F.lit(3), F.size(q) - 1),
-                lambda i: F.array(*[F.struct(_context(q, i, n).alias("ctx"), F.element_at(q, i + 1).alias("next")) for n in (3, 2)]),
-            )
-        )
+def _ended(sentence: Column) -> Column:
+    return sentence.rlike(rf"{_TERMINAL}[{_CLOSE}]*\z")
+
 
-    return F.array_distinct(F.flatten(F.transform(F.transform(sentences, ends), of)))
+def _context(words: Column, end: Column, n: int) -> Column:
+    """Hash of the ``n`` words up to place ``end`` (1-based)."""
+    return F.xxhash64(F.lit(n), *[F.get(words, end - (n - k)) for k in range(n)])
+
+
+def _two_words(words: Column, end: Column) -> Column:
+    """Hash of the two words up to ``end``; null where one is a mere mark, or where they are torn from the label before
+    them ('Style: paper cut'), as other texts then use them for something else."""
+    word = lambda k: F.get(words, end - 1 - k).rlike(r"[\p{L}\p{N}]")
+    return F.when(word(0) & word(1) & ~F.get(words, end - 3).endswith(":"), _context(words, end, 2))
 
 
-def _begins(sentences: Column) -> Column:
-    """The first three words of each sentence and whether it has a stop, once."""
-    begin = lambda w: F.struct(_context(_padded(w), F.lit(6), 3).alias("start"), _ended(w).alias("done"))
-    return F.array_distinct(F.transform(F.filter(sentences, lambda w: F.size(w) >= 3), begin))
+def _windows(words: Column, ended: Column) -> Column:
+    """Each window of three and of two words of a sentence with the word that follows, once; '$' follows an end without a stop."""
+    q = F.when(ended, words).otherwise(F.concat(words, F.array(F.lit("$"))))
+    one = lambda i: F.array(*[F.struct(_context(q, i, n).alias("ctx"), F.get(q, i).alias("next")) for n in (3, 2)])
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(3), F.size(q) - 1), one)))
 
 
 def _longer(following: Column, word: Column) -> Column:
@@ -119,151 +123,151 @@ def _two_hashes(*cols: Column) -> list[Column]:
     return [F.xxhash64(*cols).alias("k1"), F.xxhash64(F.lit(11), *cols).alias("k2")]
 
 
-def _sentences(text: Column) -> Column:
-    """Sentences in lower case, as arrays of words; a CJK character is a word."""
-    clean = _clean(text)
-    return F.transform(F.split(clean, _SENTENCE_GAP), lambda s: F.split(s, " "))
-
-
-def _ended(words: Column) -> Column:
-    return F.coalesce(F.element_at(words, -1).rlike(rf"{_TERMINAL}[{_CLOSE}]*\z"), F.lit(True))
-
-
-def _padded(words: Column) -> Column:
-    return F.concat(F.array(F.lit("^"), F.lit("^"), F.lit("^")), words)
-
-
-def _context(padded: Column, end: Column, n: int) -> Column:
-    """Hash of the ``n`` words up to place ``end`` (1-based)."""
-    return F.xxhash64(F.lit(n), *[F.element_at(padded, end - (n - 1 - k)) for k in range(n)])
-
-
-def _step(n: str) -> Column:
-    """The largest power of two up to ``n``."""
-    return F.expr(f"shiftleft(1, length(bin({n})) - 1)")
+def _sized(df: DataFrame) -> DataFrame:
+    """A kept list, to be broadcast while it is short."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def longer_copies(values: DataFrame, asked: DataFrame) -> DataFrame:
-    """``k1, k2, rest`` of the asked values that are strict prefixes of others; ``rest``: two characters that follow.
+    """``k1, k2, rest, n`` of the asked texts that are strict prefixes of others; ``rest``: two characters that follow,
+    ``n``: the number of others (sum of ``weight``).
 
-    ``values``: ``flat``; ``asked``: ``flat``. Case does not count. Prefixes of a fixed length (the largest power of two
-    within an asked value) are hashed and joined with the lengths asked for below them; then the whole prefixes of these
-    lengths are compared by two 64-bit hashes, so a lead shared by many makes no pairs.
+    ``values``: ``flat, weight``; ``asked``: ``flat``. Case does not count. Prefixes of a fixed length (the largest power of two within an
+    asked text) are hashed and joined with the lengths asked for below them; then the whole prefixes of these lengths
+    are compared by two 64-bit hashes, so a lead shared by many makes no pairs.
     """
-    sized = asked.select("flat", F.length("flat").alias("n")).filter("n > 0").withColumn("step", _step("n"))
-    lead = lambda step: F.xxhash64(F.lower(F.left(F.col("flat"), step)))
-    heads = sized.select("n", *_two_hashes(F.lower("flat"))).distinct()
-    needed = sized.groupBy("step", lead(F.col("step")).alias("lead")).agg(F.collect_set("n").alias("sizes"))
-    steps = sorted(r["step"] for r in sized.select("step").distinct().collect())  # powers of two: a few
+    step = F.expr("shiftleft(1, length(bin(n)) - 1)")  # the largest power of two up to n
+    lead = lambda at: F.xxhash64(F.lower(F.left(F.col("flat"), at)))
+    sized = asked.select("flat", F.length("flat").alias("n")).filter("n > 0").withColumn("step", step)
+    heads = _sized(C.kept(sized.select("n", *_two_hashes(F.lower("flat"))).distinct(), "heads"))
+    needed = C.kept(sized.groupBy("step", lead(F.col("step")).alias("lead")).agg(F.collect_set("n").alias("sizes")), "leads")
+    steps = sorted(r["step"] for r in needed.select("step").distinct().collect())  # powers of two: a few
     if not steps:
-        return heads.select("k1", "k2", F.lit("").alias("rest"))
+        return heads.select("k1", "k2", F.lit("").alias("rest"), F.lit(0).cast("long").alias("n"))
     leads = F.filter(
         F.array(*[F.when(F.length("flat") > k, F.struct(F.lit(k).alias("step"), lead(F.lit(k)).alias("lead"))) for k in steps]),
         lambda x: x.isNotNull(),
     )
-    at = values.select("flat", F.explode(leads).alias("x")).select("flat", "x.step", "x.lead").join(needed, ["step", "lead"])
-    at = at.select("flat", F.explode("sizes").alias("n")).filter(F.length("flat") > F.col("n"))
-    found = at.select("n", *_two_hashes(F.lower(F.left(F.col("flat"), F.col("n")))), F.substring(F.col("flat"), F.col("n") + 1, F.lit(2)).alias("rest"))
-    return found.join(heads, ["n", "k1", "k2"], "left_semi").select("k1", "k2", "rest").distinct()
+    at = values.select("flat", "weight", F.explode(leads).alias("x")).select("flat", "weight", "x.step", "x.lead").join(_sized(needed), ["step", "lead"])
+    at = at.select("flat", "weight", F.explode("sizes").alias("n")).filter(F.length("flat") > F.col("n"))
+    found = at.select("weight", "n", *_two_hashes(F.lower(F.left(F.col("flat"), F.col("n")))), F.substring(F.col("flat"), F.col("n") + 1, F.lit(2)).alias("rest"))
+    return found.join(heads, ["n", "k1", "k2"], "left_semi").groupBy("k1", "k2", "rest").agg(F.sum("weight").alias("n"))
 
 
 def truncated_values(values: DataFrame) -> DataFrame:
-    """``row_id, field`` of the values that break off inside a word or sentence.
+    """``row_id, field, route`` of the values that break off inside a word or sentence.
 
     ``values``: ``row_id, field, text, terms`` (``terms`` array<string>: the record's target terms in lower case, as a
     list that stops short of them is cut). Null and blank texts are no cases; an empty table gives no rows; repeated
-    rows give repeated rows. Whole texts are read. An open value with a strictly longer copy that goes on in its line is
-    cut, and so is one that ends in a doubtful stop or bracket where the copy goes on in the sentence. Otherwise the other texts vote, each distinct text once for a window, however often it is delivered, and never for itself. Evidence is
-    pre-aggregated before its shuffle, and only for contexts that some open tail needs, so a template in a third of all
-    texts stays one row per map task.
+    rows give repeated rows. Whole texts are read. ``route`` tells what decided, the first that did:
+
+    * 'value': the value is a strict prefix of a longer one that goes on in its line. One that ends in a doubtful stop or
+      bracket counts, too, where the copy goes on in the sentence;
+    * 'sentence': its last sentence, of three words or more, is a strict prefix of a longer one, in more values than others
+      that hold it as it is, and stands nowhere as a line of its own with more text behind it;
+    * 'visible': without a longer copy, but with a dangling mark, an open bracket or a list that stops short;
+    * 'words': the sentences of other values carry its last words on more often than they end there.
+
+    Each distinct value votes once, however often it is delivered, and never for itself. Sentences are counted before
+    their windows are made, and windows before their shuffle, only for contexts that some tail needs, so a template in a
+    third of all texts stays one row per map task.
     """
     judge = F.pandas_udf(_judge, "int")
-    v = C.kept(values.select("row_id", "field", "text", judge("text", "terms").alias("end")), "values")
-    asked = v.filter((F.col("end") == OPEN) | ((F.col("end") == WHOLE) & F.rtrim("text").rlike(_DOUBTFUL)))
-    asked = asked.select("row_id", "field", "text", "end", _flat(F.col("text")).alias("flat"))
-    longer = longer_copies(v.select(_flat(F.col("text")).alias("flat")), asked.select("flat"))
-    goes_on = F.when(F.col("end") == OPEN, F.col("in_line")).when(F.col("flat").rlike(r"\d\.$"), F.col("digit")).otherwise(F.col("small"))
-    carried = C.kept(
-        longer.groupBy("k1", "k2").agg(
-            F.bool_or(~F.col("rest").startswith("\n")).alias("in_line"),
-            F.bool_or(F.col("rest").rlike(r"^\d")).alias("digit"),
-            F.bool_or(F.col("rest").rlike(r"^ ?\p{Ll}")).alias("small"),
+    v = C.kept(values.select("row_id", "field", judge("text", "terms").alias("end"), _flat(F.col("text")).alias("flat")).filter("flat != ''"), "values")
+    doubtful = (F.col("end") == WHOLE) & F.col("flat").rlike(_DOUBTFUL)
+    # a value with a dangling mark is looked up without it
+    bare = F.when(F.col("end") == CUT, F.regexp_replace("flat", _TORN, "")).otherwise(F.col("flat"))
+    asked = v.filter((F.col("end") != WHOLE) | doubtful).select("row_id", "field", "end", bare.alias("flat"))
+    longer = longer_copies(v.select("flat", F.lit(1).alias("weight")), asked.select("flat"))
+    carried = longer.groupBy("k1", "k2").agg(
+        F.bool_or(~F.col("rest").startswith("\n")).alias("in_line"),
+        F.bool_or(F.col("rest").rlike(r"^\d")).alias("digit"),
+        F.bool_or(F.col("rest").rlike(r"^ ?\p{Ll}")).alias("small"),
+    )
+    goes_on = F.when(F.col("end") != WHOLE, F.col("in_line")).when(F.col("flat").rlike(r"\d\.$"), F.col("digit")).otherwise(F.col("small"))
+    asked = asked.withColumns(dict(zip(("k1", "k2"), _two_hashes(F.lower("flat"))))).join(_sized(C.kept(carried, "carried")), ["k1", "k2"], "left")
+    asked = C.kept(
+        asked.filter((F.col("end") != WHOLE) | goes_on).select(
+            "row_id", "field", "end", F.coalesce(goes_on, F.lit(False)).alias("copied"), F.element_at(_sentences(F.col("flat")), -1).alias("tail")
         ),
-        "carried",
+        "asked",
     )
-    asked = asked.select("row_id", "field", "text", "end", "flat", *_two_hashes(F.lower("flat"))).join(carried, ["k1", "k2"], "left")
-    asked = C.kept(asked.select("row_id", "field", "text", "end", F.coalesce(goes_on, F.lit(False)).alias("cut")), "asked")
-    tails = (
-        asked.filter((F.col("end") == OPEN) & ~F.col("cut"))
-        .withColumn("s", _sentences(F.col("text")))
-        .withColumn("w", F.element_at("s", -1))
-        .withColumn("p", _padded(F.col("w")))
-        .select(
-            "row_id",
-            "field",
-            "s",
-            F.element_at("p", -1).alias("word"),
-            F.when(F.size("w") > 3, _context(F.col("p"), F.lit(6), 3)).alias("start"),
-            _context(F.col("p"), F.size("p") - 1, 3).alias("a3"),
-            _two_words(F.col("p"), F.size("p") - 1).alias("a2"),
-            _context(F.col("p"), F.size("p"), 3).alias("b3"),
-            _two_words(F.col("p"), F.size("p")).alias("b2"),
-        )
+    # distinct sentences with the number of distinct values that hold them; mid: somewhere more text follows
+    one_each = v.select("flat", *_two_hashes(F.lower("flat"))).dropDuplicates(["k1", "k2"])
+    each = one_each.select(F.posexplode(_sentences(F.col("flat"))).alias("at", "s"), F.size(_sentences(F.col("flat"))).alias("n"))
+    sentences = C.kept(each.filter("s != ''").groupBy("s").agg(F.count("*").alias("weight"), F.bool_or(F.col("at") < F.col("n") - 1).alias("mid")), "sentences")
+    tails = asked.filter(~F.col("copied")).groupBy("tail").agg(F.bool_or(F.col("end") == OPEN).alias("open"))
+    tails = tails.join(sentences.filter(~_ended(F.col("s"))).select(F.col("s").alias("tail"), "weight", "mid"), "tail", "left")
+    tails = tails.select("tail", "open", F.coalesce("mid", F.lit(False)).alias("mid"), (F.coalesce("weight", F.lit(1)) - 1).alias("others"), *_two_hashes("tail"))
+    tails = C.kept(tails, "tails")
+    enough = F.size(F.split("tail", " ")) >= 3
+    found = longer_copies(sentences.select(F.col("s").alias("flat"), "weight"), tails.filter(enough & ~F.col("mid")).select(F.col("tail").alias("flat")))
+    found = C.kept(found.groupBy("k1", "k2").agg(F.sum("n").alias("n")), "found")
+    longer = F.coalesce(F.col("n") > F.col("others"), F.lit(False))
+    tails = C.kept(tails.join(_sized(found), ["k1", "k2"], "left").select("tail", "open", "mid", longer.alias("longer")), "looked")
+    by_words = _voted(tails.filter("open AND NOT mid AND NOT longer").select("tail"), sentences)
+    verdict = tails.filter("longer").select("tail", F.lit("sentence").alias("told")).unionByName(by_words.select("tail", F.lit("words").alias("told")))
+    route = F.when(F.col("copied"), "value").when(F.col("told") == "sentence", "sentence").when(F.col("end") == CUT, "visible").otherwise(F.col("told"))
+    return asked.join(verdict, "tail", "left").select("row_id", "field", route.alias("route")).filter("route IS NOT NULL")
+
+
+def _voted(tails: DataFrame, sentences: DataFrame) -> DataFrame:
+    """The distinct ``tail`` strings that the sentences of other values carry on more often than they end there."""
+    w, end = F.col("w"), F.size("w")
+    k = tails.withColumn("w", _words(F.col("tail"))).select(
+        "tail",
+        "w",
+        F.element_at("w", -1).alias("word"),
+        F.when(end > 6, _context(w, F.lit(6), 3)).alias("start"),
+        _context(w, end - 1, 3).alias("a3"),
+        _two_words(w, end - 1).alias("a2"),
+        _context(w, end, 3).alias("b3"),
+        _two_words(w, end).alias("b2"),
     )
-    # what a value's own text says is no evidence on it
+    # what a sentence says itself is no evidence on it
     own = {}
     for n in (3, 2):
         at = lambda key, ok: F.size(F.filter("own", lambda x: (x["ctx"] == F.col(key)) & ok(x["next"])))
         own[f"own_on{n}"] = at(f"a{n}", lambda y: _longer(y, F.col("word"))) + at(f"b{n}", lambda y: y != "$")
         own[f"own_stop{n}"] = at(f"b{n}", lambda y: y == "$")
-    begun = lambda done: F.size(F.filter(_begins(F.col("s")), lambda x: (x["start"] == F.col("start")) & (x["done"] == done)))
-    own |= {"own_done": begun(True), "own_open": begun(False)}
-    tails = tails.withColumn("own", _windows(F.col("s"))).withColumns(own).drop("s", "own")
-    tails = C.kept(tails.withColumn("kind", F.xxhash64("word", "start", "a3", "b3", *own)), "tails")
-    needed = tails.select(F.explode(F.array("a3", "a2", "b3", "b2")).alias("ctx")).filter("ctx IS NOT NULL").distinct()
-    starts = tails.select("start").filter("start IS NOT NULL").distinct()
-    # the sentences of each distinct text; the last one carries '$' when it has no stop
-    texts = v.filter(F.length(F.trim("text")) > 0).select("text", *_two_hashes(_clean(F.col("text")))).dropDuplicates(["k1", "k2"])
-    texts = C.kept(texts.select(_sentences(F.col("text")).alias("s")), "texts")
+    k = C.kept(k.withColumn("own", _windows(w, F.lit(False))).withColumns(own).drop("own", "w"), "kinds")
+    needed = _sized(C.kept(k.select(F.explode(F.array("a3", "a2", "b3", "b2")).alias("ctx")).filter("ctx IS NOT NULL").distinct(), "needed"))
+    starts = _sized(C.kept(k.select("start").filter("start IS NOT NULL").distinct(), "starts"))
+    parts = sentences.select("weight", _words(F.col("s")).alias("w"), _ended(F.col("s")).alias("done"))
     seen = (
-        texts.select(F.explode(_windows(F.col("s"))).alias("x"))
-        .select("x.ctx", "x.next")
+        parts.select("weight", F.explode(_windows(w, F.col("done"))).alias("x"))
+        .select("weight", "x.ctx", "x.next")
         .join(needed, "ctx", "left_semi")
         .groupBy("ctx", "next")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("weight").alias("n"))
     )
     seen = C.kept(seen, "seen")
     opened = (
-        texts.select(F.explode(_begins(F.col("s"))).alias("x"))
-        .select("x.start", "x.done")
+        parts.filter(end >= 6)
+        .select("weight", _context(w, F.lit(6), 3).alias("start"), "done")
         .join(starts, "start", "left_semi")
         .groupBy("start")
-        .agg(F.count_if("done").alias("n_done"), F.count_if(~F.col("done")).alias("n_open"))
+        .agg(F.sum(F.when(F.col("done"), F.col("weight")).otherwise(0)).alias("n_done"), F.sum(F.when(~F.col("done"), F.col("weight")).otherwise(0)).alias("n_open"))
     )
-    kinds = C.kept(tails.drop("row_id", "field").distinct(), "kinds")
-    got = kinds.join(opened, "start", "left")
+    got = k.join(opened, "start", "left")
     for n in (3, 2):
-        longer = (
-            kinds.join(seen.withColumnRenamed("ctx", f"a{n}"), f"a{n}")
+        in_word = (
+            k.join(seen.withColumnRenamed("ctx", f"a{n}"), f"a{n}")
             .filter(_longer(F.col("next"), F.col("word")))
-            .groupBy("kind")
+            .groupBy("tail")
             .agg(F.sum("n").alias(f"in_word{n}"))
         )
         after = seen.groupBy("ctx").agg(
             F.sum(F.when(F.col("next") != "$", F.col("n")).otherwise(0)).alias(f"on{n}"),
             F.sum(F.when(F.col("next") == "$", F.col("n")).otherwise(0)).alias(f"stop{n}"),
         )
-        got = got.join(longer, "kind", "left").join(after.withColumnRenamed("ctx", f"b{n}"), f"b{n}", "left")
+        got = got.join(in_word, "tail", "left").join(after.withColumnRenamed("ctx", f"b{n}"), f"b{n}", "left")
     z = lambda c, own: F.coalesce(F.col(c), F.lit(0)) - F.col(own)
     on3, on2 = (F.coalesce(F.col(f"in_word{n}"), F.lit(0)) + z(f"on{n}", f"own_on{n}") for n in (3, 2))
     # the larger share decides at any count; two words are asked where three are not seen elsewhere or split evenly
     stop3, stop2 = z("stop3", "own_stop3"), z("stop2", "own_stop2")
-    begun = F.col("start").isNotNull() & (z("n_done", "own_done") > z("n_open", "own_open"))
-    cut = begun | (on3 > stop3) | ((on3 == stop3) & (on2 > stop2))
-    verdict = got.select("kind", cut.alias("cut")).filter("cut")
-    judged = tails.join(verdict.select("kind"), "kind", "left_semi")
-    found = v.filter(F.col("end") == CUT).select("row_id", "field")
-    return found.unionByName(asked.filter("cut").select("row_id", "field")).unionByName(judged.select("row_id", "field"))
+    begun = F.col("start").isNotNull() & (F.coalesce("n_done", F.lit(0)) > F.coalesce("n_open", F.lit(0)) - 1)
+    return got.filter(begun | (on3 > stop3) | ((on3 == stop3) & (on2 > stop2))).select("tail")
 
 
 def ins_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,17 +281,18 @@ def ins_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncated_values(ins_values(spark, sf_dir))
+    return truncated_values(ins_values(spark, sf_dir)).select("row_id", "field")
 
 
 def p6_truncation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values, truncated values and their rate per source and field."""
+    """Values, truncated values, their rate and their number by what decided, per source and field."""
     src = C.table(spark, sf_dir, "train_cid2ins").select("row_id", "source_dataset", "target_ins", "reasoning")
-    cut = truncated_values(ins_values(spark, sf_dir)).groupBy("row_id").agg(F.collect_set("field").alias("cut"))
-    pair = lambda f: F.struct(F.lit(f).alias("field"), F.col(f).isNotNull().alias("there"), F.coalesce(F.array_contains("cut", f), F.lit(False)).alias("hit"))
+    cut = truncated_values(ins_values(spark, sf_dir)).groupBy("row_id").agg(F.map_from_entries(F.collect_set(F.struct("field", "route"))).alias("cut"))
+    pair = lambda f: F.struct(F.lit(f).alias("field"), F.col(f).isNotNull().alias("there"), F.element_at("cut", f).alias("route"))
     rows = src.join(cut, "row_id", "left").select("source_dataset", F.explode(F.array(pair("target_ins"), pair("reasoning"))).alias("x")).filter("x.there")
     return rows.groupBy("source_dataset", F.col("x.field").alias("field")).agg(
-        F.count("*").alias("n_values"), F.count_if("x.hit").alias("n_truncated"), F.round(F.count_if("x.hit") / F.count("*"), 6).alias("rate")
+        F.count("*").alias("n_values"), F.count("x.route").alias("n_truncated"), F.round(F.count("x.route") / F.count("*"), 6).alias("rate"),
+        *[F.count_if(F.col("x.route") == r).alias(f"n_{r}") for r in ("value", "sentence", "visible", "words")],
     )
 
 
