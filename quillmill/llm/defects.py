@@ -2,12 +2,16 @@
 
 A suffix automaton of the prompt's tokens measures how much of a response is copied; an Aho-Corasick automaton of
 refusal phrases, delimiter stacks (with the prefix evidence of problem 6) and votes of stop words by language find the
-other defects.
+other defects. Lists of terms have no stop words: there the words vote that sentences told by stop words hold, and the
+character n-grams of these words.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,39 +29,56 @@ PLACEHOLDERS = frozenset(
     "#n/a [none] [null] blank".split()
 ) | {"no answer", "not available", "lorem ipsum", "to be defined", "to do", "(no value)"}
 
-# fixed values: phrases by which a model declines
-REFUSALS = (
-    "not something i can", "no answer is possible", "no instruction can be given", "as an ai", "a language model", "as a large language model",
-    "beyond what i am allowed", "must decline", "must respectfully decline", "have to decline", "have to refuse", "i decline to", "i refuse to",
-    "request declined", "request denied", "request was declined", "request was denied", "request was refused", "request is declined",
-    "i am sorry", "i'm sorry, but", "sorry, but i", "sorry, this is not", "violate the content policy", "violates the content policy",
-    "against the content policy", "against my guidelines", "under the current guidelines", "not permitted to infer", "my apologies,",
-    "cannot determine", "can't determine", "unable to predict", "unable to determine", "cannot help with", "can't help with", "cannot assist with",
-    "can't assist with", "won't be able to", "will not be able to",
-    "no puedo ayudar", "lo siento, pero", "no me es posible", "tut mir leid, aber", "kann ich nicht helfen", "kann dabei nicht helfen",
-    "je suis désolé", "désolé, mais", "je ne peux pas vous aider", "je ne peux pas aider", "je regrette, mais", "mi dispiace, ma", "non posso aiutar",
-    "desculpe, mas", "não posso ajudar", "het spijt me, maar", "抱歉", "对不起", "我无法", "我不能", "申し訳",
-)
-# fixed values: an inability followed by what is declined; both lists are combined
-UNABLE = (
-    "i cannot", "i can't", "i can not", "i am unable to", "i'm unable to", "i am not able to", "i'm not able to", "i am not allowed to",
-    "i'm not allowed to", "i won't", "i will not", "it is not possible for me to", "it's not possible for me to", "it is impossible for me to",
-    "i am not permitted to", "i'm not permitted to", "we cannot", "we are unable to",
-)
+# fixed values: parts of the phrases by which a model declines; each row of DECLINES is combined to all its phrases
 TASKS = (
-    "answer assist carry comply complete continue create describe discuss do draft draw fulfil fulfill generate give go help infer "
-    "make offer predict proceed process produce provide recommend respond say share suggest supply tell write"
+    "answer assist carry comment complete comply continue create describe determine discuss do draft draw engage fulfil "
+    "fulfill generate give go help identify infer make offer perform predict proceed process produce provide recommend respond "
+    "say select share suggest summarise summarize supply support tell translate write"
 ).split()
+UNABLE = (
+    "cannot", "can't", "can not", "could not", "couldn't", "am unable to", "am not able to", "am not allowed to", "am not permitted to", "am not in a position to",
+    "will not", "won't", "will not be able to", "won't be able to", "must decline to", "have to decline to", "decline to", "refuse to", "must refuse to", "have to refuse to",
+)
+DECLINES = (
+    (("i", "we"), UNABLE, TASKS),
+    (("i'm", "we're", "we are"), ("unable to", "not able to", "not allowed to", "not permitted to", "not in a position to"), TASKS),
+    (("it is", "it's"), ("not possible", "impossible"), ("for me to", "for us to"), TASKS),
+    (("not permitted to", "not allowed to", "not authorised to", "not authorized to"), TASKS),
+    (("i", "we"), ("must", "have to", "need to", "would like to"), ("decline", "respectfully decline", "politely decline", "refuse")),
+    (("request", "query", "prompt", "task", "question"), ("", "is", "was", "has been", "must be", "had to be"), ("declined", "denied", "refused", "rejected")),
+    (("no",), ("answer", "response", "output", "result", "instruction", "recommendation", "prediction", "completion"),
+     ("is possible", "is available", "can be given", "can be provided", "can be generated", "can be made", "could be generated", "could be produced", "will be given")),
+    (("this is", "that is", "that's", "it is", "this isn't", "that isn't"), ("not something", "something"), ("i can", "i can't", "i cannot", "i am able to", "i am allowed to", "i'm able to")),
+    (("beyond what i", "outside what i", "more than i"), ("can", "can do", "am able", "am allowed", "am permitted")),
+    (("beyond my", "outside my", "outside of my"), ("abilities", "capabilities", "capability", "remit", "scope")),
+    (("violate", "violates", "breach", "breaches", "against", "contrary to", "under"), ("my", "our", "the content", "the usage", "the safety", "the current", "content", "usage", "safety"), ("policy", "policies", "guideline", "guidelines")),
+    (("as an ai", "as a language model", "as a large language model", "as an artificial intelligence", "i am just an ai", "i'm just an ai"),),
+    (("i'm sorry", "i am sorry", "sorry", "my apologies", "i apologise", "i apologize", "apologies"), (", but i", ", i", ", but this", ", this is not", ", but that", ", that is not", ", but we", ", but it is")),
+    (("kann ich", "kann ich dir", "kann ich ihnen", "kann dabei", "kann dir dabei", "kann ihnen dabei", "kann hier", "darf ich"), ("nicht helfen", "nicht weiterhelfen", "nicht antworten", "nicht beantworten")),
+    (("tut mir leid, aber", "leider kann ich", "ich kann leider", "ich muss ablehnen"),),
+    (("je ne peux pas", "je ne suis pas en mesure de", "je ne suis pas en mesure d'", "il m'est impossible de", "il m'est impossible d'"), ("", "vous", "te", "t'"), ("aider", "répondre", "générer", "fournir", "faire")),
+    (("je suis désolé", "désolé, mais", "désolée, mais", "je regrette, mais"),),
+    (("no puedo", "no podemos", "no me es posible", "no es posible"), ("ayudar", "ayudarte", "ayudarle", "responder", "generar", "proporcionar", "hacer")),
+    (("lo siento, pero", "lo lamento, pero"),),
+    (("non posso", "non sono in grado di", "non mi è possibile"), ("aiutare", "aiutarti", "aiutarla", "rispondere", "generare", "fornire", "fare")),
+    (("mi dispiace, ma", "sono spiacente, ma"),),
+    (("não posso", "não consigo"), ("ajudar", "responder", "gerar", "fornecer", "fazer")),
+    (("desculpe, mas", "sinto muito, mas", "lamento, mas"),),
+    (("het spijt me, maar", "ik kan hier niet", "ik kan je hier niet", "ik kan u hier niet"),),
+    (("抱歉", "对不起", "我无法", "我不能", "申し訳", "お手伝いできません", "죄송합니다"),),
+)
+#: Without a subject only at the begin of a sentence or of a list's element ('Cannot determine the terms').
+BARE = (("cannot", "can't", "can not", "could not", "unable to", "not able to", "impossible to", "not possible to"), TASKS)
 
-# fixed values: function words that tell a language; a word of several languages counts as a fraction for each
+# fixed values: the most frequent function words of each language; a word of several languages counts as a fraction for each
 STOPWORDS = {
-    "en": "the a an on in at no or if there here me your and of to with for that it as this are be from at was my which by is you i we not will should has have but so or its their one than into under what".split(),
-    "de": "der die das und ist in an nicht mit ein eine einen einem einer auf für von den dem des im zu zum zur ich sich auch wie nach noch als aus bei bitte damit dass man hat soll sollte weil aber oder alles keine mir dabei meine meinen war steht liegt ans einen eines".split(),
-    "fr": "le la les un une des a et est dans avec pour sur du au aux que qui ne pas plus ce cette il elle je tout sans se sa son ses doit car par mais ou où encore déjà l d à ma devant près".split(),
-    "es": "el los las una unos y en con pero puedo esa ese lo no por para que del al su sus se es como sin lo muy más pero este esta todo yo mi debe debo tiene hay cerca la ya después aunque un delante".split(),
-    "it": "il lo gli i una e di in a con per che del della sul sullo non più come si sono questo questa dovrei ho mi senza deve devono po al ma o già dopo nel alla un la".split(),
-    "pt": "o os uma e do no a da dos das com por para que não mais como se um em ao na no seu sua já sem deve".split(),
-    "nl": "de het een en van in met voor dat op niet ook naar zijn heeft wordt deze die maar bij uit aan moet zonder".split(),
+    "en": "the of and to a in is it you that he was for on are with as i his they be at one have this from or had by not but what we when your can said there an each which she do how their if will up about out many then them these so some her would make like him into has more no than been its who now my over did down only way may should am me any could does where before after through just because very too here such those being both between under".split(),
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei ich wir mir mich dich du kann wenn schon alles damit ihr seine eines keine weil bitte soll".split(),
+    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont la avec ou son si mais nous sa aux ont je cette elle vous ses comme tout même bien sans peut y on deux leur tu être mon ma très car où l d lui dont fait puis".split(),
+    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está mi porque qué sólo han yo hay vez puede todos así nos ni parte tiene él uno donde bien cada ese esa esto".split(),
+    "it": "di e il la che in un a per è una sono con non si le da lo i del della al ha come dei più su nel alla anche ma delle o se gli ci mi io ho questo questa dal nella essere tra era due suo sua molto loro dalla sulla sul cui perché fra uno quando ogni senza tutto dopo po tutti già noi lui lei".split(),
+    "pt": "de a o que e do da em um para é com não uma os no se na por mais as dos como mas foi ao ele das tem à seu sua ou ser quando muito há nos já está eu também só pelo pela até isso ela entre era depois sem mesmo aos ter seus quem nas me esse eles você essa num nem suas meu minha têm".split(),
+    "nl": "de van een het en in is dat op te zijn met voor niet die aan er om ook als dan maar bij nog uit naar door over ze zich wel heeft hij of geen werd wordt deze dit veel tot kan meer haar zou hebben ik je mijn wat we al worden onder moet had mij daar hier goed na omdat zonder".split(),
 }
 _VOTES: dict[str, list[str]] = {}
 for _lang, _words in STOPWORDS.items():
@@ -100,11 +121,17 @@ class SuffixAutomaton:
         self.size.append(size)
         return len(self.next) - 1
 
-    def covered(self, tokens: list, least) -> list[bool]:
-        """Which tokens lie in a run that also occurs here; ``least(run)`` tells whether a run is long enough."""
-        out = [False] * len(tokens)
+    def covered(self, tokens: list, words: int, alone) -> list[bool]:
+        """Which tokens lie in a run that also occurs here and that has ``words`` tokens or one with ``alone(token)``.
+
+        One pass for the runs (their tokens that stand alone are counted as prefix sums), one for the marks.
+        """
+        n = len(tokens)
+        singles = [0] * (n + 1)
+        reach = [0] * (n + 1)  # opened minus closed marks
         state = length = 0
         for i, t in enumerate(tokens):
+            singles[i + 1] = singles[i] + bool(alone(t))
             while state and t not in self.next[state]:
                 state = self.link[state]
                 length = self.size[state]
@@ -113,9 +140,13 @@ class SuffixAutomaton:
                 length += 1
             else:
                 length = 0
-            if length and least(tokens[i - length + 1 : i + 1]):
-                for k in range(i - length + 1, i + 1):
-                    out[k] = True
+            if length and (length >= words or singles[i + 1] > singles[i + 1 - length]):
+                reach[i + 1 - length] += 1
+                reach[i + 1] -= 1
+        out, depth = [], 0
+        for d in reach[:n]:
+            depth += d
+            out.append(depth > 0)
         return out
 
 
@@ -127,13 +158,22 @@ def tokens_of(text: str) -> list[str]:
     return [re.sub(r"\s+", "", t).lower() if t.startswith("<") else t.lower() for t in _TOKEN.findall(text)]
 
 
-def copied_share(value: list[str], source: list[str], words: int) -> float:
-    """Share of the value's characters in runs of the source: item codes alone, words from ``words`` in a row."""
-    value = [t for t in value if not t.isdigit()]
-    if not value or not source:
-        return 0.0
-    got = SuffixAutomaton(source).covered(value, lambda run: len(run) >= words or any(t[0] == "<" for t in run))
-    return sum(len(t) for t, c in zip(value, got) if c) / sum(map(len, value))
+class Source:
+    """What may have been copied; its automaton is built when a value holds enough of its tokens at all."""
+
+    def __init__(self, tokens: list[str]):
+        self.tokens, self.known, self.automaton = tokens, set(tokens), None
+
+    def share(self, value: list[str], words: int, least: float) -> bool:
+        """Whether runs of the source hold ``least`` of the value's characters: item codes alone, words from ``words`` in a row."""
+        value = [t for t in value if not t.isdigit()]
+        total = sum(map(len, value))
+        if not total or sum(len(t) for t in value if t in self.known) < least * total:
+            return False
+        if self.automaton is None:
+            self.automaton = SuffixAutomaton(self.tokens)
+        got = self.automaton.covered(value, words, lambda t: t[0] == "<")
+        return sum(len(t) for t, c in zip(value, got) if c) >= least * total
 
 
 _LABEL = re.compile(r"^\s*\w[\w ]{0,20}:\s+")  # "Terms: ", "target_tid: "
@@ -141,23 +181,39 @@ _LEAD = re.compile(r"^\s*[A-Za-z][^:.!?\n]{0,25}:\s+")  # "OK, here it is: "
 _FOREIGN_SCRIPT = re.compile(r"[Ѐ-ԯ֐-ۿऀ-෿฀-໿ᄀ-ᇿ぀-ヿ㐀-鿿가-힯]")
 
 
+_WORDS = re.compile(r"[^\W\d_]+")
+_MARKS = re.compile(r"[äöüßáéíóúñàèìòùâêîôûçãõ¿¡]")
+_TORN_WORD = re.compile(r"(?<=\s)\w+[^\w.!?。！？]*\Z")  # a last word without a stop may be part of one
+_STOP = re.compile(r"(?<=[.!?。！？])\s*")
+
+
+def votes_of(sentence: str) -> dict[str, float]:
+    """Votes of the stop words of a sentence in lower case, by language."""
+    votes: dict[str, float] = {}
+    for w in _WORDS.findall(sentence):
+        langs = _VOTES.get(w)
+        if langs:
+            for lang in langs:
+                votes[lang] = votes.get(lang, 0) + 1 / len(langs)
+    return votes
+
+
 def foreign_share(text: str) -> float:
     """Share of the voting characters that lie in sentences whose stop words or script are not English."""
-    plain = re.sub(r"<[^>]*>?", " ", _LEAD.sub("", text))
+    plain = re.sub(r"<[^>]*>?", " ", _LEAD.sub("", text)).lower()
     foreign = total = 0
-    for s in re.split(r"(?<=[.!?。！？])\s*", plain):
-        script = len(_FOREIGN_SCRIPT.findall(s))
-        letters = sum(ch.isalpha() for ch in s)
-        if script * 2 > letters and script:
-            foreign, total = foreign + 3 * script, total + 3 * letters  # a CJK character is about three Latin ones
-            continue
-        votes: dict[str, float] = {}
-        for w in re.findall(r"[^\W\d_]+", s.lower()):
-            for lang in _VOTES.get(w, ()):
-                votes[lang] = votes.get(lang, 0) + 1 / len(_VOTES[w])
-        marks = len(re.findall(r"[äöüßáéíóúñàèìòùâêîôûçãõ¿¡]", s.lower()))
+    for s in _STOP.split(plain):
+        letters = sum(map(str.isalpha, s))
+        if not s.isascii():
+            script = len(_FOREIGN_SCRIPT.findall(s))
+            if script * 2 > letters and script:
+                foreign, total = foreign + 3 * script, total + 3 * letters  # a CJK character is about three Latin ones
+                continue
+        votes = votes_of(_TORN_WORD.sub("", s))
+        marks = 0 if s.isascii() else len(_MARKS.findall(s))
+        marks = marks if marks > 1 else 0  # one is in many a loan word
         best = max((v for k, v in votes.items() if k != "en"), default=0)
-        if not best and not votes.get("en") and marks < 2:
+        if not best and not votes.get("en") and not marks:
             continue
         total += letters
         if best + 0.25 * marks > votes.get("en", 0):
@@ -176,19 +232,27 @@ def _refusals():
     import ahocorasick
 
     machine = ahocorasick.Automaton()
-    for p in (*REFUSALS, *(f"{u} {t}" for u in UNABLE for t in TASKS)):
-        machine.add_word(p, p)
+    for row in DECLINES:
+        for parts in itertools.product(*row):
+            p = re.sub(r" +(?=,)", "", " ".join(x for x in parts if x))
+            machine.add_word(p, (p, False))
+    for parts in itertools.product(*BARE):
+        p = " ".join(parts)
+        if p not in machine:
+            machine.add_word(p, (p, True))
     machine.make_automaton()
     return machine
 
 
 def _declines(machine, text: str) -> bool:
     s = re.sub(r"\s+", " ", text.lower().replace("’", "'"))
-    for end, phrase in machine.iter(s):
+    for end, (phrase, bare) in machine.iter(s):
         begin = end - len(phrase) + 1
-        if begin and s[begin].isalpha() and s[begin].isascii() and s[begin - 1].isalnum():
+        if begin and phrase[0].isascii() and s[begin - 1].isalnum():
+            continue
+        if end + 1 < len(s) and phrase[-1].isascii() and s[end + 1].isalpha():
             continue
-        if end + 1 < len(s) and phrase[-1].isascii() and phrase[-1].isalpha() and s[end + 1].isalpha() and not phrase.endswith("aiutar"):
+        if bare and not re.search(r"(^|[.!?:;,\n\"'(\[])\s*\Z", s[max(0, begin - 3) : begin]):
             continue
         return True
     return False
@@ -218,12 +282,7 @@ def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     out.append((row_id, "target_tid", "language"))
             if is_empty(ins):
                 out.append((row_id, "target_ins", "empty"))
-            prompt: list[str] = []
-            for x in hist if hist is not None else ():
-                prompt += tokens_of(x) if x else []
-            prompt.append("\x00")
-            for x in terms:
-                prompt += tokens_of(x)
+            prompt = Source([t for x in (hist if hist is not None else ()) if x for t in tokens_of(x)] + ["\x00"] + [t for x in terms for t in tokens_of(x)])
             for field, text in (("target_ins", ins), ("reasoning", why)):
                 if text is None or is_empty(text):
                     continue
@@ -231,45 +290,91 @@ def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     out.append((row_id, field, "refusal"))
                 if foreign_share(text) > 0.5:
                     out.append((row_id, field, "language"))
-                value = tokens_of(text)
-                copy = copied_share(tokens_of(_LABEL.sub("", text)), prompt, 2) >= 0.75
+                copy = prompt.share(tokens_of(_LABEL.sub("", text)), 2, 0.75)
                 if not copy and field == "target_ins" and why:
-                    copy = copied_share(value, tokens_of(why), 4) >= 0.8
+                    copy = Source(tokens_of(why)).share(tokens_of(text), 4, 0.8)
                 if copy:
                     out.append((row_id, field, "copy"))
         yield pd.DataFrame(out, columns=["row_id", "field", "defect"])
 
 
-def defects(rows: DataFrame, catalog: DataFrame) -> DataFrame:
+LANGS = tuple(STOPWORDS)
+#: What a known word may add to a language; the rate of an unseen n-gram; the mean log odds from which a list is foreign.
+_KNOWN, _UNSEEN, _ODDS = 8.0, 1e-4, math.log(100)
+
+
+def _told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Words of the sentences whose language the stop words tell clearly, counted within the batch."""
+    for pdf in batches:
+        n: Counter = Counter()
+        for s in pdf["s"]:
+            votes = votes_of(s)
+            if votes:
+                lang = max(votes, key=votes.get)
+                rest = max((v for k, v in votes.items() if k != lang), default=0)
+                if votes[lang] >= 1.5 and votes[lang] >= 2 * rest:
+                    n.update((lang, w) for w in set(_WORDS.findall(s)))
+        yield pd.DataFrame([(*k, c) for k, c in n.items()], columns=["lang", "word", "n"])
+
+
+def foreign_lists(lists: DataFrame, sentences: DataFrame) -> DataFrame:
+    """The ``terms`` of the distinct ``lists`` (array<string>, lower case) that most of their terms and their sum of votes
+    say are not English.
+
+    ``sentences``: distinct ``s`` in lower case. Those whose language the stop words tell give words; a word votes by the
+    share of its sentences in each language, one that none of them holds by the rates of its character n-grams of 2 to 4
+    among the distinct words of a language. A list needs odds of a hundred to one a term, so unknown words are not
+    foreign by themselves. All counts are joined, none is collected but the totals of a language.
+    """
+    words = sentences.mapInPandas(_told, "lang string, word string, n long").groupBy("word").agg(
+        *[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(x) for x in LANGS]
+    )
+    words = C.kept(words, "words")
+
+    def grams(w):
+        e = F.concat(F.lit("<"), w, F.lit(">"))
+        some = [F.when(F.length(e) >= n, F.transform(F.sequence(F.lit(1), F.length(e) - (n - 1)), lambda i, n=n: F.substring(e, i, F.lit(n)))) for n in (2, 3, 4)]
+        return F.flatten(F.array_compact(F.array(*some)))
+
+    counts = words.select(F.explode(grams(F.col("word"))).alias("gram"), *LANGS).groupBy("gram").agg(*[F.count_if(F.col(x) > 0).alias(x) for x in LANGS])
+    counts = C.kept(counts, "grams")
+    total = counts.agg(*[F.sum(x).alias(x) for x in LANGS]).first()
+    langs = [x for x in LANGS if total[x]]
+    lists = C.kept(lists, "lists")
+    if langs in ([], ["en"]):
+        return lists.limit(0)
+    each = lists.select("terms", F.posexplode("terms").alias("at", "term")).select(
+        "terms", "at", F.explode(F.filter(F.split("term", r"[^\p{L}]+"), lambda w: F.length(w) > 1)).alias("word")
+    )
+    asked = C.kept(each.select("word").distinct(), "asked")
+    seen = asked.join(words, "word")
+    most = F.greatest(*[F.col(x) for x in langs]) if len(langs) > 1 else F.col(langs[0])
+    seen = seen.select("word", *[(_KNOWN * F.col(x) / most).alias(x) for x in langs])
+    guessed = asked.join(words, "word", "left_anti").select("word", F.explode(grams(F.col("word"))).alias("gram")).join(counts, "gram", "left")
+    guessed = guessed.groupBy("word").agg(*[F.sum(F.log(F.coalesce(x, F.lit(0)) / total[x] + _UNSEEN)).alias(x) for x in langs])
+    by_term = each.join(seen.unionByName(guessed), "word").groupBy("terms", "at").agg(*[F.sum(x).alias(x) for x in langs])
+    foreign = [F.col(x) for x in langs if x != "en"]
+    lead = (F.greatest(*foreign) if len(foreign) > 1 else foreign[0]) - (F.col("en") if "en" in langs else F.lit(0.0))
+    by_list = by_term.groupBy("terms").agg(F.avg(lead).alias("lead"), (2 * F.count_if(lead > 0) > F.count("*")).alias("most"))
+    return by_list.filter(F.col("most") & (F.col("lead") >= _ODDS)).select("terms")
+
+
+def defects(rows: DataFrame) -> DataFrame:
     """``row_id, field, defect`` of each defective value, one row per defect.
 
-    ``rows``: ``row_id, hist_sid, target_tid, target_ins, reasoning``; ``catalog``: an array column ``terms`` of known
-    English term lists, in lower case: a target list is foreign when most of its terms are in none and it declines
-    nothing; a list that declines is foreign when its text is. Null or empty lists and blank texts are 'empty' (never reasoning, which may be null); texts are read whole;
-    repeated rows give repeated results; an empty table gives none. Rows are independent, so skew does not matter; terms
-    are counted before they are joined.
+    ``rows``: ``row_id, hist_sid, target_tid, target_ins, reasoning``. Null or empty lists and blank texts are 'empty'
+    (never reasoning, which may be null); texts are read whole; repeated rows give repeated results; an empty table
+    gives none. A list that declines is foreign when its stop words are, any other by the votes of ``foreign_lists``.
+    Rows are independent, so skew does not matter; sentences, lists and terms are made distinct before they are joined.
     """
     rows = rows.select("row_id", "hist_sid", "target_tid", "target_ins", "reasoning")
     found = C.kept(rows.mapInPandas(_find, _DEFECT_SCHEMA), "found")
-    cut = truncated_values(
-        rows.select(
-            "row_id",
-            clean_terms(F.col("target_tid")).alias("terms"),
-            F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("target_ins", "reasoning")])).alias("x"),
-        )
-        .select("row_id", "x.field", "x.text", "terms")
-        .filter(F.col("text").isNotNull())
-    )
-    known = catalog.select(F.explode("terms").alias("term")).distinct()
+    texts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("target_ins", "reasoning")])
+    values = rows.select("row_id", clean_terms(F.col("target_tid")).alias("terms"), F.explode(texts).alias("x"))
+    values = values.select("row_id", "x.field", "x.text", "terms").filter(F.col("text").isNotNull())
+    cut, sentences = truncated_values(values, with_sentences=True)
     lists = rows.select(clean_terms(F.col("target_tid")).alias("terms")).filter((F.size("terms") > 0) & ~F.exists("terms", lambda x: x.contains("<s_a_"))).distinct()
-    strange = (
-        lists.select("terms", F.explode("terms").alias("term"))
-        .join(known.withColumn("known", F.lit(1)), "term", "left")
-        .groupBy("terms")
-        .agg(F.count("*").alias("n"), F.count("known").alias("n_known"))
-        .filter(F.col("n_known") * 2 < F.col("n"))
-        .select("terms")
-    )
+    strange = foreign_lists(lists, sentences)
     odd = rows.select("row_id", clean_terms(F.col("target_tid")).alias("terms")).join(strange, "terms", "left_semi").select("row_id")
     silent = found.filter("field = 'target_tid'").select("row_id")
     odd = odd.join(silent, "row_id", "left_anti").select("row_id", F.lit("target_tid").alias("field"), F.lit("language").alias("defect"))
@@ -277,8 +382,7 @@ def defects(rows: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalog = C.table(spark, sf_dir, "pid2cid2tid").select(clean_terms(F.col("tid")).alias("terms"))
-    return defects(C.table(spark, sf_dir, "train_cid2ins"), catalog)
+    return defects(C.table(spark, sf_dir, "train_cid2ins"))
 
 
 def p5_defect_report(spark: SparkSession, sf_dir: str) -> DataFrame:

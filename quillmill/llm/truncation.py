@@ -78,7 +78,9 @@ def _judge(text: pd.Series, terms: pd.Series) -> pd.Series:
 def _flat(text: Column) -> Column:
     """The text with single blanks, runs with a line break as one line break."""
     lines = F.regexp_replace(text, r"(?U)[\s\u200b\uFEFF]*[\n\r][\s\u200b\uFEFF]*", "\n")
-    return F.btrim(F.regexp_replace(lines, r"(?U)[[\s\u200b\uFEFF]&&[^\n]]+", " "), F.lit(" \n"))
+    flat = F.regexp_replace(lines, r"(?U)[[\s\u200b\uFEFF]&&[^\n]]+", " ")
+    odd = text.rlike(r"(?U)  |[[\s\u200b\uFEFF]&&[^ ]]")  # most texts need no change
+    return F.btrim(F.when(odd, flat).otherwise(text), F.lit(" \n"))
 
 
 def _sentences(flat: Column) -> Column:
@@ -154,7 +156,7 @@ def longer_copies(values: DataFrame, asked: DataFrame) -> DataFrame:
     return found.join(heads, ["n", "k1", "k2"], "left_semi").groupBy("k1", "k2", "rest").agg(F.sum("weight").alias("n"))
 
 
-def truncated_values(values: DataFrame) -> DataFrame:
+def truncated_values(values: DataFrame, with_sentences: bool = False):
     """``row_id, field, route`` of the values that break off inside a word or sentence.
 
     ``values``: ``row_id, field, text, terms`` (``terms`` array<string>: the record's target terms in lower case, as a
@@ -170,10 +172,10 @@ def truncated_values(values: DataFrame) -> DataFrame:
 
     Each distinct value votes once, however often it is delivered, and never for itself. Sentences are counted before
     their windows are made, and windows before their shuffle, only for contexts that some tail needs, so a template in a
-    third of all texts stays one row per map task.
+    third of all texts stays one row per map task. ``with_sentences`` also returns the distinct sentences (``s``).
     """
     judge = F.pandas_udf(_judge, "int")
-    v = C.kept(values.select("row_id", "field", judge("text", "terms").alias("end"), _flat(F.col("text")).alias("flat")).filter("flat != ''"), "values")
+    v = C.kept(values.select("row_id", "field", judge("text", "terms").alias("end"), _flat(F.col("text")).alias("flat")), "values").filter("flat != ''")
     doubtful = (F.col("end") == WHOLE) & F.col("flat").rlike(_DOUBTFUL)
     # a value with a dangling mark is looked up without it
     bare = F.when(F.col("end") == CUT, F.regexp_replace("flat", _TORN, "")).otherwise(F.col("flat"))
@@ -194,8 +196,8 @@ def truncated_values(values: DataFrame) -> DataFrame:
     )
     # distinct sentences with the number of distinct values that hold them; mid: somewhere more text follows
     one_each = v.select("flat", *_two_hashes(F.lower("flat"))).dropDuplicates(["k1", "k2"])
-    each = one_each.select(F.posexplode(_sentences(F.col("flat"))).alias("at", "s"), F.size(_sentences(F.col("flat"))).alias("n"))
-    sentences = C.kept(each.filter("s != ''").groupBy("s").agg(F.count("*").alias("weight"), F.bool_or(F.col("at") < F.col("n") - 1).alias("mid")), "sentences")
+    each = one_each.select(F.posexplode(F.reverse(_sentences(F.col("flat")))).alias("at", "s"))
+    sentences = C.kept(each.filter("s != ''").groupBy("s").agg(F.count("*").alias("weight"), F.bool_or(F.col("at") > 0).alias("mid")), "sentences")
     tails = asked.filter(~F.col("copied")).groupBy("tail").agg(F.bool_or(F.col("end") == OPEN).alias("open"))
     tails = tails.join(sentences.filter(~_ended(F.col("s"))).select(F.col("s").alias("tail"), "weight", "mid"), "tail", "left")
     tails = tails.select("tail", "open", F.coalesce("mid", F.lit(False)).alias("mid"), (F.coalesce("weight", F.lit(1)) - 1).alias("others"), *_two_hashes("tail"))
@@ -208,7 +210,8 @@ def truncated_values(values: DataFrame) -> DataFrame:
     by_words = _voted(tails.filter("open AND NOT mid AND NOT longer").select("tail"), sentences)
     verdict = tails.filter("longer").select("tail", F.lit("sentence").alias("told")).unionByName(by_words.select("tail", F.lit("words").alias("told")))
     route = F.when(F.col("copied"), "value").when(F.col("told") == "sentence", "sentence").when(F.col("end") == CUT, "visible").otherwise(F.col("told"))
-    return asked.join(verdict, "tail", "left").select("row_id", "field", route.alias("route")).filter("route IS NOT NULL")
+    out = asked.join(verdict, "tail", "left").select("row_id", "field", route.alias("route")).filter("route IS NOT NULL")
+    return (out, sentences) if with_sentences else out
 
 
 def _voted(tails: DataFrame, sentences: DataFrame) -> DataFrame:

@@ -73,17 +73,19 @@ def test_defects(spark):
         (5, h, ["red shoe"], f"The history is {CODE.format(1)}, {CODE.format(2)}", None),
         (6, h, ["red shoe"], "Das Bild zeigt eine Teekanne vor der Wand und ist nicht laut.", None),
         (7, h, ["red shoe"], "I see that the user likes cork and leather shoes.", "First a look. I see that the user likes cork and leather shoes. Then the pick is made."),
-        (8, h, ["garten", "sommer", "holz"], good, None),
+        (8, h, ["garten", "sommer", "holztisch"], good, None),
+        (10, h, ["red shoe"], "Der Gartentisch ist aus Holz und steht mit dem Stuhl in der Sonne. Im Sommer ist es auf der Bank und an der Wand warm.", None),
+        (11, h, ["trellis", "gazebo", "zorbing kit"], good, "The shoe is red and the table is made of wood, so that this will be the one to have in the end."),
+        (12, h, ["red shoe"], "Put the lamp with the red shade near the window and let it be seen from the path to the garden.", "He was at the shop and had to choose between what they make."),
         (9, h, ["red shoe", "cork"], "Make a poster with the words 'Sorry, we are closed' on a door.", None),
     ]
     d = spark.createDataFrame([(*r, "clash") for r in rows], s)
-    cat = spark.createDataFrame([(["red shoe", "cork"],)], "terms array<string>")
-    got = {(r["row_id"], r["field"], r["defect"]) for r in defects.defects(d, cat).collect()}
+    got = {(r["row_id"], r["field"], r["defect"]) for r in defects.defects(d).collect()}
     assert got == {
         (2, "target_tid", "empty"), (2, "target_ins", "empty"), (3, "target_tid", "empty"), (3, "target_ins", "empty"), (4, "target_tid", "copy"),
-        (4, "target_ins", "refusal"), (5, "target_ins", "copy"), (6, "target_ins", "language"), (7, "target_ins", "copy"), (8, "target_tid", "language"),
+        (10, "target_ins", "language"), (4, "target_ins", "refusal"), (5, "target_ins", "copy"), (6, "target_ins", "language"), (7, "target_ins", "copy"), (8, "target_tid", "language"),
     }
-    assert defects.defects(d.limit(0), cat).count() == 0
+    assert defects.defects(d.limit(0)).count() == 0
 
 
 def test_declining_list_in_another_language():
@@ -101,7 +103,36 @@ def test_suffix_automaton():
         a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 12))] for _ in range(2))
         runs = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)}
         want = [any(tuple(b[i:j]) in runs for i in range(k + 1) for j in range(max(k + 1, i + 2), len(b) + 1) if i <= k < j) for k in range(len(b))]
-        assert defects.SuffixAutomaton(a).covered(b, lambda run: len(run) >= 2) == want
+        assert defects.SuffixAutomaton(a).covered(b, 2, lambda t: False) == want
+        alone = [any(x == "c" for x in b[i:j]) for i, j in ((0, len(b)),)] and [t in a and t == "c" or w for t, w in zip(b, want)]
+        got = defects.SuffixAutomaton(a).covered(b, 2, lambda t: t == "c")
+        assert all(g or not x for g, x in zip(got, alone)) and all(w or g is False or t == "c" for g, w, t in zip(got, want, b))
+
+
+def test_copies_of_long_texts():
+    import time
+
+    long = ["w%d" % (i % 5000) for i in range(60_000)]
+    t = time.time()
+    assert defects.Source(long).share(long, 4, 0.8) and time.time() - t < 20  # linear: a square of it would take hours
+    assert not defects.Source(long).share(["x"] * 1000, 4, 0.8)
+
+
+REFUSING = (  # in other words than the lists combine, where possible
+    "I'm afraid that I won't be able to assist you with this.|I must respectfully decline.|This is not something I can help with.|Sorry, but I can't create that.|"
+    "As an AI, I have no opinion on this.|We are unable to provide a recommendation.|Your request was denied.|No prediction can be made.|Unable to determine the target.|"
+    "Answering would go against our guidelines.|Es tut mir leid, aber das geht nicht.|Lo siento, pero no puedo ayudarte.|Je suis désolé, mais non.|抱歉，我不能这样做。"
+).split("|")
+WILLING = (
+    "I cannot decide from the first two items alone, so I read on.|A sign that says 'Sorry, we are closed'.|The lid can't be seen from here.|Do not decline the offer.|"
+    "A request form on a desk.|I could not have asked for a better shoe.|Show what the lamp can help with.|The cat is unable to reach the shelf.|Guidelines on a poster."
+).split("|")
+
+
+def test_refusals():
+    machine = defects._refusals()
+    assert [x for x in REFUSING if not defects._declines(machine, x)] == []
+    assert [x for x in WILLING if defects._declines(machine, x)] == []
 
 
 def test_packing(spark):
