@@ -32,6 +32,24 @@ def items(col: Column) -> Column:
     )
 
 
+def hash_code(x: Column, seed: int, bits: int = 64) -> Column:
+    code = F.xxhash64(F.lit(seed), x)
+    return code if bits == 64 else code.bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def apart(items: DataFrame, bits: int = 64) -> int:
+    """A seed under which no two different ``item`` values share a code of ``bits`` bits, told by a second 64-bit hash.
+
+    Two of a billion items share a 64-bit code with a chance of about 3 %; then the next seed is tried."""
+    seed = 0
+    while True:
+        codes = items.select(hash_code(F.col("item"), seed, bits).alias("code"), F.xxhash64(F.lit(-1 - seed), "item").alias("other"))
+        met = codes.groupBy("code").agg(F.min("other").alias("a"), F.max("other").alias("b")).filter("a != b")
+        if met.isEmpty():
+            return seed
+        seed += 1
+
+
 def canonical(core: Column) -> Column:
     return F.concat(F.lit("<|cid_begin|>"), core, F.lit("<|cid_end|>"))
 
@@ -63,15 +81,20 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests, one machine) the warehouse folder."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset, in local mode only, the warehouse folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quillmill"
     return found.rstrip("/")
 
 
-def _remove_made() -> None:
-    for spark, path in _made:
+def release() -> None:
+    """Removes the tables kept so far, for sessions that run many queries: call it when their results have been read."""
+    while _made:
+        spark, path = _made.pop()
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
@@ -80,12 +103,12 @@ def _remove_made() -> None:
             pass
 
 
-atexit.register(_remove_made)
+atexit.register(release)
 
 
 def kept(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts the lineage, survives lost executors, may be read
-    more than once. It is removed when the driver's program ends."""
+    more than once. It is removed by ``release`` or when the driver's program ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)

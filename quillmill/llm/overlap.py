@@ -1,9 +1,9 @@
 """Problem 1: the same or almost the same records across splits, by a compressed full-text index.
 
 Evaluation sequences are deduplicated, put into shards of bounded size and indexed (FM-index: the Burrows-Wheeler
-transform as one rank list per symbol, and the suffix array). Training sequences stream through backward search; the
-left-maximal matches of a seed length are extended to maximal matches, their spans are merged for each pair of
-sequences, and pairs whose spans allow few enough edits are checked by their edit distance.
+transform as runs with counts, and a sampled suffix array). Training sequences stream through backward search; the
+left-maximal matches of a seed length are extended to maximal matches, their spans are merged to the longest one of each
+pair of sequences, and pairs whose span allows few enough edits are checked by their edit distance.
 """
 
 from __future__ import annotations
@@ -23,18 +23,26 @@ from . import common as C
 SEED = 3
 
 
+SAMPLE = 8  # every so many places of the text the suffix array is kept
+
+
 class FmIndex:
-    """Index over sequences of 64-bit codes. Ranks of a symbol c up to a row i are one binary search in the sorted
-    keys c * (n + 1) + row, for whole arrays of (c, i) at once; no match runs over the end of a sequence."""
+    """Compressed index over sequences of 64-bit codes: the runs of the Burrows-Wheeler transform with the counts before
+    them, every eighth place of the suffix array and the starts of sequences, and the text in its smallest type for
+    extending matches. Near copies make long runs. No match goes over the end of a sequence."""
+
+    PARTS = ("vocab", "text", "run", "sym", "srow", "sval", "seq_start", "ids")
 
-    def __init__(self, vocab, text, sa, seq_start, ids):
-        self.vocab, self.text, self.sa, self.seq_start, self.ids = vocab, text, sa, seq_start, ids
+    def __init__(self, vocab, text, run, sym, srow, sval, seq_start, ids):
+        self.vocab, self.text, self.run, self.sym = vocab, text, run, sym
+        self.srow, self.sval, self.seq_start, self.ids = srow, sval, seq_start.astype(np.int64), ids
         self.n = len(text)
-        bwt = text[sa - 1]  # the row of place 0 takes the last separator
-        self.bwt = bwt
-        order = np.argsort(bwt, kind="stable")
-        self.keys = bwt[order].astype(np.int64) * (self.n + 1) + order
-        self.first = np.searchsorted(self.keys, np.arange(len(vocab) + 2, dtype=np.int64) * (self.n + 1))
+        size = np.diff(np.append(run.astype(np.int64), self.n))
+        by = np.argsort(sym, kind="stable")
+        self.start, self.size = run[by].astype(np.int64), size[by]
+        self.keys = sym[by].astype(np.int64) * (self.n + 1) + self.start
+        self.before = np.concatenate(([0], np.cumsum(self.size)))  # smaller symbols, and the same one in runs before
+        self.first = self.before[np.searchsorted(self.keys, np.arange(len(vocab) + 2, dtype=np.int64) * (self.n + 1))]
 
     @staticmethod
     def build(codes: list[np.ndarray], ids: np.ndarray) -> "FmIndex":
@@ -42,7 +50,7 @@ class FmIndex:
         vocab, flat = np.unique(np.concatenate(codes), return_inverse=True)
         ends = np.cumsum(lens + 1) - 1
         n = int(ends[-1]) + 1
-        text = np.zeros(n, dtype=np.int32)  # 0: end of a sequence; item i of the vocabulary: i + 1
+        text = np.zeros(n, dtype=np.min_scalar_type(len(vocab) + 1))  # 0: end of a sequence; item i of the vocabulary: i + 1
         body = np.ones(n, dtype=bool)
         body[ends] = False
         text[body] = flat + 1
@@ -60,26 +68,48 @@ class FmIndex:
             if new[-1] == n - 1:
                 break
             k *= 2
-        sa = np.argsort(rank, kind="stable").astype(np.int32)
-        return FmIndex(vocab, text, sa, np.concatenate(([0], ends[:-1] + 1)), ids)
+        sa = np.argsort(rank, kind="stable")
+        bwt = text[sa - 1]  # the row of place 0 takes the last separator
+        run = np.flatnonzero(np.concatenate(([True], bwt[1:] != bwt[:-1])))
+        srow = np.flatnonzero((sa % SAMPLE == 0) | (bwt == 0))  # ends do not follow the order of what is behind them
+        seq_start = np.concatenate(([0], ends[:-1] + 1))
+        return FmIndex(vocab, text, run.astype(np.int32), bwt[run], srow.astype(np.int32), sa[srow].astype(np.int32), seq_start, ids)
 
     def row(self) -> dict:
-        return {"vocab": self.vocab.tobytes(), "text": self.text.tobytes(), "sa": self.sa.tobytes(), "seq_start": self.seq_start.astype(np.int32).tobytes(), "ids": self.ids.astype(np.int64).tobytes()}
+        small = {"text_type": self.text.dtype.str, "seq_start": self.seq_start.astype(np.int32), "ids": self.ids.astype(np.int64)}
+        return {p: (small.get(p, getattr(self, p))).tobytes() for p in self.PARTS} | {"text_type": small["text_type"]}
 
     @staticmethod
     def of(row: dict) -> "FmIndex":
-        return FmIndex(
-            np.frombuffer(row["vocab"], np.int64), np.frombuffer(row["text"], np.int32), np.frombuffer(row["sa"], np.int32),
-            np.frombuffer(row["seq_start"], np.int32).astype(np.int64), np.frombuffer(row["ids"], np.int64),
-        )
+        kinds = {"vocab": np.int64, "ids": np.int64, "text": row["text_type"], "sym": row["text_type"]}
+        return FmIndex(*[np.frombuffer(row[p], kinds.get(p, np.int32)) for p in FmIndex.PARTS])
 
     def encode(self, flat: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.vocab, flat), len(self.vocab) - 1)
         return np.where(self.vocab[at] == flat, at + 1, -1).astype(np.int64)
 
     def step(self, c: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Backward step of interval ends: C[c] + rank(c, row), read off the sorted keys."""
-        return np.searchsorted(self.keys, c * (self.n + 1) + rows)
+        """Backward step of interval ends: smaller symbols, and c in the rows before; one search in the sorted runs."""
+        at = np.searchsorted(self.keys, c * (self.n + 1) + rows)
+        p = np.maximum(at - 1, 0)
+        inside = (at > 0) & (self.keys[p] >= c * (self.n + 1))
+        return np.where(inside, self.before[p] + np.minimum(rows - self.start[p], self.size[p]), self.before[at])
+
+    def symbol(self, rows: np.ndarray) -> np.ndarray:
+        return self.sym[np.searchsorted(self.run, rows, side="right") - 1].astype(np.int64)
+
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """Places of the text: steps back to a row whose place is kept."""
+        out = np.zeros(len(rows), np.int64)
+        live, at, back = np.arange(len(rows)), rows.astype(np.int64), 0
+        while len(live):
+            k = np.minimum(np.searchsorted(self.srow, at), len(self.srow) - 1)
+            hit = self.srow[k] == at
+            out[live[hit]] = self.sval[k[hit]] + back
+            live, at = live[~hit], at[~hit]
+            at = self.step(self.symbol(at), at)
+            back += 1
+        return out
 
     def seeds(self, sym: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each place that ends a match of SEED symbols (``left``: symbols before it in its sequence): the place
@@ -149,11 +179,10 @@ def search_block(ix: FmIndex, flat: np.ndarray, start: np.ndarray, length: np.nd
             continue
         rows = _ragged(lo[b0:b1], ww)
         t = np.repeat(jj, ww) - (SEED - 1)  # start in the training text
-        p = ix.sa[rows].astype(np.int64)  # start in the indexed text
         # left-maximal: the symbols before differ, or a sequence begins
         before = np.where(left[t] > 0, sym[t - 1], -2)
-        maximal = before != ix.bwt[rows]
-        t, p = t[maximal], p[maximal]
+        maximal = before != ix.symbol(rows)
+        t, p = t[maximal], ix.locate(rows[maximal])  # start in the indexed text
         a = seq_of[t]
         e = np.searchsorted(ix.seq_start, p, side="right") - 1
         ends = np.concatenate((ix.seq_start[1:], [ix.n])) - 1
@@ -163,7 +192,7 @@ def search_block(ix: FmIndex, flat: np.ndarray, start: np.ndarray, length: np.nd
             live = live[sym[t[live] + size[live]] == ix.text[p[live] + size[live]]]
             size[live] += 1
             live = live[(t[live] + size[live] < (start + length)[a[live]]) & (p[live] + size[live] < ends[e[live]])]
-        # spans of a pair: the longest one, and the items covered
+        # spans of a pair: the longest one is left
         key = a * len(ix.ids) + e
         order = np.argsort(key, kind="stable")
         key, size = key[order], size[order]
@@ -199,6 +228,57 @@ def search_block(ix: FmIndex, flat: np.ndarray, start: np.ndarray, length: np.nd
     return a[keep], e[keep]
 
 
+class _Block:
+    """Training sequences of a task in one flat array, equal ones once."""
+
+    def __init__(self, t: pa.Table):
+        lists = t["codes"].combine_chunks()
+        if isinstance(lists, pa.ChunkedArray):
+            lists = lists.chunk(0)
+        offs = lists.offsets.to_numpy().astype(np.int64)
+        flat = lists.values.to_numpy()
+        lens, start = np.diff(offs), offs[:-1]
+        bare = t["bare"].to_numpy().astype(np.int64)
+        self.ids = t["train_id"].to_numpy()
+        # equal sequences side by side: by length and a content hash, then compared in full with the one before
+        own = flat[offs[0] : offs[-1]].view(np.uint64) if len(flat) else np.zeros(0, np.uint64)
+        place = (np.arange(len(own)) - np.repeat(start - offs[0], lens)).astype(np.uint64)
+        mixed = (own ^ (place * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        mixed ^= mixed >> np.uint64(29)
+        tot = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)))
+        rel = offs - offs[0]
+        mix = tot[rel[1:]] - tot[rel[:-1]]
+        order = np.lexsort((mix, bare, lens))
+        n, x, y = lens[order], order[1:], order[:-1]
+        same = (lens[x] == lens[y]) & (bare[x] == bare[y]) & (mix[x] == mix[y])
+        k = np.flatnonzero(same)
+        at = _ragged(start[x[k]], n[1:][k])
+        unequal = np.zeros(len(k), bool)
+        np.logical_or.at(unequal, np.repeat(np.arange(len(k)), n[1:][k]), flat[at] != flat[_ragged(start[y[k]], n[1:][k])])
+        same[k[unequal]] = False
+        begin = np.flatnonzero(np.concatenate(([True], ~same)))
+        first = order[begin]
+        self.length, self.bare = lens[first], bare[first]
+        self.flat = flat[_ragged(start[first], self.length)]
+        self.start = np.cumsum(self.length) - self.length
+        self.order, self.begin, self.count = order, begin, np.diff(np.append(begin, len(order)))
+
+    def links(self, ix: FmIndex, least: int) -> pa.RecordBatch:
+        a, e = search_block(ix, self.flat, self.start, self.length, self.bare, least)
+        n = self.count[a]
+        ids = self.ids[self.order[_ragged(self.begin[a], n)]] if len(a) else self.ids[:0]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.repeat(ix.ids[e], n), pa.int64())], names=["train_id", "class_id"])
+
+
+_LINK = "train_id long, class_id long"
+
+
+def _seed_hashes(codes):
+    """Distinct hashes of the runs of SEED items."""
+    at = F.sequence(F.lit(0), F.size(codes) - SEED)
+    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(*[F.get(codes, i + d) for d in range(SEED)])))
+
+
 def cross_split_links(
     train: DataFrame, evaluation: DataFrame, least: int = 8, shard_items: int = 2_000_000, block_rows: int = 40_000
 ) -> tuple[DataFrame, DataFrame]:
@@ -207,9 +287,12 @@ def cross_split_links(
     ``train``: ``train_id, codes array<long>, bare int`` (codes of the history, then of the target; ``bare`` counts the
     history's); ``evaluation``: ``eval_id, split, codes``. Equal evaluation sequences form a class, indexed once; equal
     training sequences of a block are searched once. Sequences under ``least`` items can't be cases; nulls must have
-    been dropped; empty tables give no links. Codes are 64-bit hashes of items (two of a billion different items share
-    one with a chance of about 3 %). Evaluation shards hold at most ``shard_items`` items (or one class): a task holds
-    one shard and ``block_rows`` training rows, whatever the tables' sizes. The index goes through the shared folder.
+    been dropped; empty tables give no links. Items are compared by their codes.
+
+    Evaluation shards hold about ``shard_items`` items, so they grow in number with the table; then a training sequence
+    goes to those shards only that hold one of its runs of three items (no case lacks such a run), found by a join of
+    their hashes. A task holds one shard and about ``block_rows`` training rows; a shard that many rows ask for has many
+    tasks. Work follows the rows and their matches, not the product of both tables. The index lies in the shared folder.
     """
     spark = train.sparkSession
     ev = evaluation.filter(F.size("codes") >= least)
@@ -217,113 +300,79 @@ def cross_split_links(
     members = C.kept(ev.join(classes, "codes").select("class_id", "eval_id", "split"), "members")
     classes = C.kept(classes, "classes")
     total = classes.agg(F.sum(F.size("codes") + 1)).first()[0] or 0
+    if not total:
+        return spark.createDataFrame([], _LINK), members
     shards = max(1, -(-int(total) // shard_items))
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
         ix = FmIndex.build(list(pdf["codes"]), pdf["class_id"].to_numpy())
         return pd.DataFrame([{"shard": int(pdf["shard"].iloc[0]), **ix.row()}])
 
-    built = C.kept(
-        classes.withColumn("shard", F.pmod(F.xxhash64("codes"), F.lit(shards)).cast("int"))
-        .groupBy("shard")
-        .applyInPandas(index, "shard int, vocab binary, text binary, sa binary, seq_start binary, ids binary"),
-        "index",
-    )
+    # sequences meet by one of their runs of three, so that near copies mostly lie in one shard; a crowded one is split
+    sharded = classes.withColumn("near", F.pmod(F.array_min(_seed_hashes(F.col("codes"))), F.lit(shards)).cast("int"))
+    wide = sharded.groupBy("near").agg(F.ceil(F.sum(F.size("codes") + 1) / (2 * shard_items)).cast("int").alias("parts"))
+    sharded = sharded.join(wide, "near").withColumn("shard", F.col("near") + shards * F.pmod(F.xxhash64("codes"), F.col("parts")).cast("int"))
+    sharded = C.kept(sharded.select("class_id", "codes", "shard"), "sharded")
+    parts = ", ".join(f"{p} binary" for p in FmIndex.PARTS)
+    built = C.kept(sharded.groupBy("shard").applyInPandas(index, f"shard int, {parts}, text_type string"), "index")
     path = built._kept_path
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def load(shard: int) -> FmIndex:
         import pyarrow.dataset as ds
         from pyarrow import fs
 
-        def indexes():
-            if len(held) == 1:
-                yield held[0]
-                return
-            where, sub = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
-            n = 0
-            for frag in ds.dataset(sub, filesystem=where, format="parquet").get_fragments():
-                for rg in range(frag.metadata.num_row_groups):
-                    for row in frag.subset(row_group_ids=[rg]).to_table().to_pylist():
-                        n += 1
-                        ix = FmIndex.of(row)
-                        if shards == 1:
-                            held.append(ix)
-                        yield ix
-
-        held: list[FmIndex] = []
-
-        def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(parts).combine_chunks()
-            lists = t["codes"].combine_chunks() if isinstance(t["codes"], pa.ChunkedArray) else t["codes"]
-            if isinstance(lists, pa.ChunkedArray):
-                lists = lists.chunk(0)
-            offs = lists.offsets.to_numpy().astype(np.int64)
-            flat = lists.values.to_numpy()
-            lens, start = np.diff(offs), offs[:-1]
-            bare = t["bare"].to_numpy()
-            ids = t["train_id"].to_numpy()
-            # equal sequences once: sort by a content hash, then compare in full
-            mix = np.zeros(len(lens), np.uint64)
-            place = np.arange(len(flat), dtype=np.uint64) - np.repeat(start - offs[0], lens).astype(np.uint64) if len(flat) else np.zeros(0, np.uint64)
-            if len(flat):
-                own = flat[offs[0] : offs[-1]].astype(np.uint64)
-                mixed = (own ^ (place * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
-                mixed ^= mixed >> np.uint64(29)
-                tot = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)))
-                rel = offs - offs[0]
-                mix = tot[rel[1:]] - tot[rel[:-1]]
-            _, first, inverse = np.unique(np.stack([mix, lens.astype(np.uint64), bare.astype(np.uint64)], 1), axis=0, return_index=True, return_inverse=True)
-            inverse = inverse.reshape(-1)
-            u_start, u_len, u_bare = start[first], lens[first], bare[first].astype(np.int64)
-            u_flat = flat[_ragged(u_start, u_len)]
-            u_start = np.cumsum(u_len) - u_len
-            by = np.argsort(inverse, kind="stable")
-            count = np.bincount(inverse, minlength=len(first))
-            begin = np.cumsum(count) - count
-            for ix in indexes():
-                a, e = search_block(ix, u_flat, u_start, u_len, u_bare, least)
-                if len(a):
-                    n = count[a]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[by[_ragged(begin[a], n)]]), pa.array(np.repeat(ix.ids[e], n))], names=["train_id", "class_id"]
-                    )
-
-        waiting, rows = [], 0
-        for b in batches:
-            if b.num_rows:
-                waiting.append(b)
-                rows += b.num_rows
-            if rows >= block_rows:
-                yield from flush(waiting)
-                waiting, rows = [], 0
-        if rows:
-            yield from flush(waiting)
+        where, sub = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+        found = ds.dataset(sub, filesystem=where, format="parquet").to_table(filter=ds.field("shard") == shard)
+        return FmIndex.of(found.slice(0, 1).to_pylist()[0])
 
-    if not total:
-        links = spark.createDataFrame([], "train_id long, class_id long")
-    else:
-        links = train.filter(F.size("codes") >= least).select("train_id", "codes", "bare").mapInArrow(search, "train_id long, class_id long")
-    return links, members
+    rows = train.filter(F.size("codes") >= least).select("train_id", "codes", "bare")
+    if shards == 1:
+
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ix, waiting, n = None, [], 0
+
+            def flush():
+                return _Block(pa.Table.from_batches(waiting)).links(ix, least)
+
+            for b in batches:
+                if b.num_rows:
+                    ix = ix or load(0)
+                    waiting.append(b)
+                    n += b.num_rows
+                if n >= block_rows:
+                    yield flush()
+                    waiting, n = [], 0
+            if n:
+                yield flush()
 
+        return rows.mapInArrow(stream, _LINK), members
 
-def _codes(items):
-    return F.transform(items, lambda x: F.xxhash64(x))
+    asked = C.kept(sharded.select("shard", F.explode(_seed_hashes(F.col("codes"))).alias("seed")).distinct(), "seeds")
+    routed = rows.select("train_id", F.explode(_seed_hashes(F.col("codes"))).alias("seed")).join(asked, "seed").select("train_id", "shard").distinct()
+    routed = C.kept(routed, "routed")
+    wide = routed.groupBy("shard").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))  # a row per shard
+    goes = routed.join(wide, "shard").withColumn("part", F.pmod(F.xxhash64("train_id"), F.col("parts")).cast("int"))
+
+    def search(key, t):
+        return pa.Table.from_batches([_Block(t).links(load(key[0].as_py()), least)])
+
+    links = rows.join(goes.select("train_id", "shard", "part"), "train_id").groupBy("shard", "part").applyInArrow(search, _LINK)
+    return links, members
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    t = C.table(spark, sf_dir, "train_cid2cid")
-    goal = F.coalesce(C.item_core(F.col("target_sid")), F.lit(""))
-    t = t.select("row_id", C.items(F.col("hist_sid")).alias("h"), goal.alias("g"))
-    train = t.select(
-        F.col("row_id").alias("train_id"),
-        _codes(F.when(F.col("g") != "", F.concat("h", F.array("g"))).otherwise(F.col("h"))).alias("codes"),
-        F.size("h").alias("bare"),
-    )
+    goal = F.filter(F.array(C.item_core(F.col("target_sid"))), lambda x: x != "")  # [] where there is none
+    train = C.table(spark, sf_dir, "train_cid2cid").select(F.col("row_id").alias("train_id"), C.items(F.col("hist_sid")).alias("h"), goal.alias("g"))
     parts = [
-        C.table(spark, sf_dir, f"{s}_cid2cid").select(F.col("row_id").alias("eval_id"), F.lit(s).alias("split"), _codes(C.items(F.col("hist_sid"))).alias("codes"))
+        C.table(spark, sf_dir, f"{s}_cid2cid").select(F.col("row_id").alias("eval_id"), F.lit(s).alias("split"), C.items(F.col("hist_sid")).alias("h"))
         for s in ("valid", "test")
     ]
-    return train, parts[0].unionByName(parts[1])
+    evaluation = parts[0].unionByName(parts[1])
+    each = train.select(F.explode(F.concat("h", F.coalesce("g", F.array().cast("array<string>")))).alias("item")).unionByName(evaluation.select(F.explode("h").alias("item")))
+    seed = C.apart(each)
+    codes = lambda x: F.transform(x, lambda i: C.hash_code(i, seed))
+    train = train.select("train_id", codes(F.concat("h", F.coalesce("g", F.array().cast("array<string>")))).alias("codes"), F.size("h").alias("bare"))
+    return train, evaluation.select("eval_id", "split", codes(F.col("h")).alias("codes"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,5 +394,29 @@ def p1_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SQL: dict[str, str] = {}
+_SQL = r"""
+WITH tr AS (SELECT row_id, list_filter(list_transform(hist_sid, lambda x: regexp_replace(regexp_extract(x, '<s_a_\d+>\s*<s_b_\d+>\s*<s_c_\d+>'), '\s+', '', 'g')), lambda x: x IS NOT NULL AND x <> '') AS a,
+  regexp_replace(regexp_extract(coalesce(target_sid, ''), '<s_a_\d+>\s*<s_b_\d+>\s*<s_c_\d+>'), '\s+', '', 'g') AS g FROM train_cid2cid WHERE hist_sid IS NOT NULL),
+tn AS (SELECT row_id, a AS s FROM tr UNION ALL SELECT row_id, list_append(a, g) FROM tr WHERE g <> ''),
+ts AS (SELECT row_id, s FROM tn WHERE len(s) >= 8),
+es AS (SELECT * FROM (SELECT 'valid' AS split, source_dataset, row_id, list_filter(list_transform(hist_sid, lambda x: regexp_replace(regexp_extract(x, '<s_a_\d+>\s*<s_b_\d+>\s*<s_c_\d+>'), '\s+', '', 'g')), lambda x: x IS NOT NULL AND x <> '') AS s FROM valid_cid2cid
+  UNION ALL SELECT 'test', source_dataset, row_id, list_filter(list_transform(hist_sid, lambda x: regexp_replace(regexp_extract(x, '<s_a_\d+>\s*<s_b_\d+>\s*<s_c_\d+>'), '\s+', '', 'g')), lambda x: x IS NOT NULL AND x <> '') AS s FROM test_cid2cid)
+  WHERE len(s) >= 8),
+td AS (SELECT DISTINCT s FROM ts), ed AS (SELECT DISTINCT s FROM es),
+tg AS (SELECT DISTINCT s, unnest(list_transform(range(1, len(s) - 1), lambda i: s[i] || s[i + 1] || s[i + 2])) AS g FROM td),
+eg AS (SELECT DISTINCT s, unnest(list_transform(range(1, len(s) - 1), lambda i: s[i] || s[i + 1] || s[i + 2])) AS g FROM ed),
+cand AS (SELECT DISTINCT t.s AS t, e.s AS e FROM tg t JOIN eg e USING (g)),
+near AS (SELECT t, e FROM cand WHERE abs(len(t) - len(e)) <= greatest(len(t), len(e)) // 5 AND levenshtein(
+  array_to_string(list_transform(e, lambda x: chr((35 + list_position(e, x))::INTEGER)), ''),
+  array_to_string(list_transform(t, lambda x: chr((35 + coalesce(list_position(e, x), 0))::INTEGER)), '')) <= greatest(len(t), len(e)) // 5),
+f AS (SELECT DISTINCT es.split, es.source_dataset, ts.row_id AS train_row_id, es.row_id AS eval_row_id FROM near JOIN ts ON ts.s = near.t JOIN es ON es.s = near.e)
+"""
+SQL = {
+    "p1_found": _SQL + "SELECT split, train_row_id, eval_row_id FROM f",
+    "p1_overlap_report": _SQL
+    + """, n AS (SELECT split, eval_row_id, count(*) AS k FROM f GROUP BY ALL),
+ev AS (SELECT 'valid' AS split, row_id, source_dataset FROM valid_cid2cid UNION ALL SELECT 'test', row_id, source_dataset FROM test_cid2cid)
+SELECT ev.split, ev.source_dataset, count(*) AS eval_rows, count(k) AS overlapping_rows, coalesce(sum(k), 0)::BIGINT AS links
+FROM ev LEFT JOIN n ON n.split = ev.split AND n.eval_row_id = ev.row_id GROUP BY ev.split, ev.source_dataset""",
+}
 QUERIES = {"p1_found": p1_found, "p1_overlap_report": p1_overlap_report}

@@ -55,6 +55,32 @@ def test_overlap_brute_force(spark, shard_items):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
 
 
+def test_index_against_plain_search():
+    import numpy as np
+
+    rng = random.Random(9)
+    seqs = [[rng.choice((5, 7, 900, -3)) for _ in range(rng.randint(1, 30))] for _ in range(60)]
+    ix = overlap.FmIndex.build([np.array(x, np.int64) for x in seqs], np.arange(60))
+    ix = overlap.FmIndex.of({k: v for k, v in ix.row().items()})
+    text = [x for s in seqs for x in (*s, None)]
+    for q in ([5], [5, 7], [7, 900, -3], [5, 5, 5, 5], [900, 7, 7]):
+        sym = ix.encode(np.array(q, np.int64))
+        lo, hi = np.array([0]), np.array([ix.n])
+        for c in sym[::-1]:
+            lo, hi = ix.step(np.array([c]), lo), ix.step(np.array([c]), hi)
+        got = sorted(ix.locate(np.arange(lo[0], hi[0])).tolist())
+        assert got == [i for i in range(len(text)) if text[i : i + len(q)] == q]
+    assert ix.encode(np.array([6], np.int64))[0] == -1
+
+
+def test_codes_without_collisions(spark):
+    """Few bits make codes meet under the first seeds; the seed that is returned keeps all items apart."""
+    d = spark.createDataFrame([(f"i{k}",) for k in range(12)] * 2 + [(None,)], "item string").filter("item IS NOT NULL")
+    seed = common.apart(d, bits=7)
+    got = {r["item"]: r["c"] for r in d.select("item", common.hash_code(F.col("item"), seed, 7).alias("c")).collect()}
+    assert len(set(got.values())) == 12 and common.apart(d) == 0 == common.apart(d.limit(0))
+
+
 def test_overlap_empty(spark):
     t = spark.createDataFrame([], "train_id long, codes array<long>, bare int")
     e = spark.createDataFrame([], "eval_id long, split string, codes array<long>")
