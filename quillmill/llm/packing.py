@@ -68,6 +68,57 @@ def fresh(sizes: list[int], capacity: int, rng: np.random.Generator, noise: floa
     return Packing(bins, free, capacity)
 
 
+def _nearest(values: list[int], low: int, high: int) -> int:
+    """Place of the largest value within (low, high] of a sorted list, else -1."""
+    k = bisect.bisect_right(values, high) - 1
+    return k if k >= 0 and values[k] > low else -1
+
+
+def exchange(loose: list[int], sizes: list[int], bins: list[list[int]], free: list[int]) -> list[int]:
+    """Swaps one or two items of a container for a loose item, or one for two, where that fills it better; returns what is loose then.
+
+    Larger items get a place this way and smaller ones, which are easier to place, come loose."""
+    order = sorted(loose, key=lambda i: sizes[i])
+    values = [sizes[i] for i in order]
+
+    def put(i: int) -> None:
+        k = bisect.bisect_left(values, sizes[i])
+        values.insert(k, sizes[i])
+        order.insert(k, i)
+
+    for k, own in enumerate(bins):
+        if not free[k] or not order:
+            continue
+        best: tuple[int, tuple[int, ...], tuple[int, ...]] | None = None  # space gained, places loose, items out
+        n = len(own)
+        outs = [(i,) for i in own] + ([(own[x], own[y]) for x in range(n) for y in range(x + 1, n)] if n <= 12 else [])
+        for out in outs:
+            low = sum(sizes[i] for i in out)
+            high = low + free[k]
+            at = _nearest(values, low, high)
+            if at >= 0 and (best is None or values[at] - low > best[0]):
+                best = (values[at] - low, (at,), out)
+            x, y = 0, len(values) - 1
+            while x < y and len(values) <= 200:
+                t = values[x] + values[y]
+                if t > high:
+                    y -= 1
+                else:
+                    if t > low and (best is None or t - low > best[0]):
+                        best = (t - low, (x, y), out)
+                    x += 1
+        if best:
+            gain, places, out = best
+            into = [order[p] for p in places]
+            for p in sorted(places, reverse=True):
+                del values[p], order[p]
+            bins[k] = [i for i in own if i not in out] + into
+            free[k] -= gain
+            for i in out:
+                put(i)
+    return order
+
+
 def cross(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: np.random.Generator) -> Packing:
     """Child of ``a`` with well-filled containers of ``b``."""
     order = sorted(range(len(b.bins)), key=lambda k: b.free[k])
@@ -84,6 +135,7 @@ def cross(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: np.rando
             free.append(a.free[k])
         else:
             loose += [i for i in own if i not in taken]
+    loose = exchange(loose, sizes, bins, free)
     best_fit(loose, sizes, bins, free, capacity)
     return Packing(bins, free, capacity)
 
@@ -94,7 +146,8 @@ def shake(a: Packing, sizes: list[int], capacity: int, rng: np.random.Generator)
     out = set(worst) | set(rng.integers(0, len(a.bins), max(1, len(a.bins) // 50)).tolist())
     bins = [list(x) for k, x in enumerate(a.bins) if k not in out]
     free = [f for k, f in enumerate(a.free) if k not in out]
-    best_fit([i for k in out for i in a.bins[k]], sizes, bins, free, capacity)
+    loose = exchange([i for k in out for i in a.bins[k]], sizes, bins, free)
+    best_fit(loose, sizes, bins, free, capacity)
     return Packing(bins, free, capacity)
 
 
@@ -162,6 +215,21 @@ def _epoch(pdf: pd.DataFrame) -> pd.DataFrame:
     return out[["spec", "capacity", "block", "island", "role", "doc_id", "piece", "size", "bins"]]
 
 
+_PACKED = "spec string, capacity int, block int, doc_id long, piece int, size int, bin int, fill double"
+
+
+def _start(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block packed by best fit, largest first, and whether no packing could take fewer containers."""
+    pdf = pdf.sort_values(["doc_id", "piece"], kind="stable")
+    sizes, capacity = pdf["size"].astype(int).tolist(), int(pdf["capacity"].iloc[0])
+    p = fresh(sizes, capacity, np.random.default_rng(0), 0.0)
+    out = pdf[["spec", "capacity", "block", "doc_id", "piece", "size"]].copy()
+    out["bin"] = _bin_of(p, len(pdf))
+    out["fill"] = [1 - p.free[k] / capacity for k in out["bin"]]
+    out["tight"] = len(p.bins) <= -(-sum(sizes) // capacity)
+    return out
+
+
 def _choose(pdf: pd.DataFrame) -> pd.DataFrame:
     """The best packing of a block's islands, with the fill of each item's container."""
     best = None
@@ -187,8 +255,9 @@ def pack(
     into full pieces (each a container of its own) and a rest, which is packed; nothing else is split. Documents of no
     tokens are packed as size 0; null sizes count as 0; specs without a positive capacity give nothing; an empty table
     gives no rows. A block holds about ``block_items`` documents, or as many as fill some 60 containers, spread by the
-    hash of their id, so copies or one source can't crowd a block. After the last epoch the containers under ``full``
-    are packed again, those of many blocks together, up to ``levels`` times.
+    hash of their id, so copies or one source can't crowd a block. Blocks are first packed by best fit; only those that
+    take more containers than the least that could do evolve. Then the containers under ``full`` are packed again,
+    those of many blocks together, up to ``levels`` times.
     """
     specs = [(n, int(c)) for n, c in specs if n is not None and c is not None and c > 0]
     spark = sizes.sparkSession
@@ -217,20 +286,23 @@ def pack(
                 blocks[name] = max(1, round(n / min(size, 6 * block_items)))
         last = level == levels - 1 or all(b == 1 for b in blocks.values())
         n_blocks = F.coalesce(*[F.when(F.col("spec") == k, F.lit(b)) for k, b in blocks.items()])
-        state = rest.select(
-            "spec", "capacity", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), n_blocks).cast("int").alias("block"),
-            F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), F.lit(0).alias("role"), "doc_id", "piece", "size",
-            F.lit(None).cast("array<int>").alias("bins"),
-        )
-        for epoch in range(epochs):
-            if epoch:  # the elites of an island also go to the next one of the ring
-                moved = state.withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int")).withColumn("role", F.lit(1))
-                state = state.unionByName(moved)
-            state = C.kept(state.groupBy(*_KEY).applyInPandas(_epoch, _SCHEMA), f"epoch{level}")
-        best = C.kept(
-            state.groupBy("spec", "block").applyInPandas(_choose, "spec string, capacity int, block int, doc_id long, piece int, size int, bin int, fill double"),
-            f"level{level}",
-        )
+        block = F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), n_blocks).cast("int")
+        started = rest.select("spec", "capacity", block.alias("block"), "doc_id", "piece", "size").groupBy("spec", "block").applyInPandas(_start, _PACKED + ", tight boolean")
+        started = C.kept(started, f"start{level}")
+        best = started.drop("tight")
+        loose = started.filter(~F.col("tight"))
+        if not loose.isEmpty():
+            state = loose.select(
+                "spec", "capacity", "block", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), F.lit(0).alias("role"), "doc_id", "piece", "size",
+                F.array("bin").alias("bins"),
+            )
+            for epoch in range(epochs):
+                if epoch:  # the elites of an island also go to the next one of the ring
+                    moved = state.withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int")).withColumn("role", F.lit(1))
+                    state = state.unionByName(moved)
+                state = C.kept(state.groupBy(*_KEY).applyInPandas(_epoch, _SCHEMA), f"epoch{level}")
+            evolved = C.kept(state.groupBy("spec", "block").applyInPandas(_choose, _PACKED), f"level{level}")
+            best = started.filter("tight").drop("tight").unionByName(evolved)
         closed = best if last else best.filter(F.col("fill") >= full)
         done.append(closed.select("spec", F.format_string(f"{level}-%d-%d", "block", "bin").alias("container"), "doc_id", "piece", "size"))
         if last:

@@ -152,6 +152,35 @@ def test_packing(spark):
     assert packing.pack(d.limit(0), [("s", 100)]).count() == 0
 
 
+def test_packing_evolves_beyond_best_fit(spark):
+    """Triples that fill a container exactly: best fit takes a fifth more, the evolved packing hardly any."""
+    rng = random.Random(3)
+    sizes = []
+    for _ in range(60):
+        a = rng.randint(380, 489)
+        b = rng.randint(250, 1000 - a - 250)
+        sizes += [a, b, 1000 - a - b]
+    plain = len(packing.fresh(sizes, 1000, np.random.default_rng(0), 0.0).bins)
+    d = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, tokens int")
+    got = packing.pack(d, [("s", 1000)], block_items=1000).collect()
+    used = {}
+    for x in got:
+        used[x["container"]] = used.get(x["container"], 0) + x["size"]
+    assert sorted(x["size"] for x in got) == sorted(sizes) and max(used.values()) <= 1000
+    assert plain >= 68 and len(used) <= 62
+
+
+def test_exchange_keeps_items():
+    rng = random.Random(8)
+    for _ in range(200):
+        sizes = [rng.randint(1, 60) for _ in range(30)]
+        bins, free = [], []
+        packing.best_fit(list(range(18)), sizes, bins, free, 100)
+        loose = packing.exchange(list(range(18, 30)), sizes, bins, free)
+        assert sorted([i for b in bins for i in b] + loose) == list(range(30))
+        assert all(f == 100 - sum(sizes[i] for i in b) and f >= 0 for b, f in zip(bins, free))
+
+
 def test_flight_keeps_sums():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 3, 50, 500):
