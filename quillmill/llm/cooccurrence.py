@@ -14,6 +14,7 @@ from . import common as C
 
 #: Items up to which their list is broadcast (some 50 MB); beyond, it is joined by a shuffle.
 BROADCAST_ITEMS = 500_000
+WIDE_BASKET = 1_000
 
 
 def item_pairs(
@@ -30,8 +31,8 @@ def item_pairs(
     ``n_ab >= min_share * n`` and ``n_ab * n >= min_lift * n_a * n_b``, n being the baskets with an item. Items that
     cannot reach them are dropped before pairs are made, without loss: n_ab <= n_a, and n_ab <= min(n_a, n_b) makes
     n_a <= n / min_lift. Null or empty baskets give nothing, null elements are no items, repeated items count once, an
-    empty table gives no rows. A hot item only lengthens baskets by one; a basket is handled as a whole row, so
-    nothing is gathered by item.
+    empty table gives no rows. A hot item only lengthens baskets by one, so nothing is gathered by item; the pairs of a
+    basket of over ``WIDE_BASKET`` items are made by many tasks, an item with those behind it at a time.
     """
     b = C.kept(
         baskets.select(*key, F.array_sort(F.array_distinct(F.array_compact(F.col(items)))).alias("_items")).filter(
@@ -50,9 +51,15 @@ def item_pairs(
     small = known.count() <= BROADCAST_ITEMS
     sized = F.broadcast if small else lambda d: d
     slim = each.join(sized(known.select("item", "id")), "item").groupBy(*key).agg(F.array_sort(F.collect_list("id")).alias("_ids"))
-    first = slim.filter(F.size("_ids") > 1).select(F.posexplode("_ids").alias("_i", "a"), "_ids")
+    behind = F.transform(
+        F.slice("_ids", 1, F.size("_ids") - 1), lambda x, i: F.struct(x.alias("a"), F.slice("_ids", i + 2, F.size("_ids")).alias("rest"))
+    )
+    many = F.size("_ids") > WIDE_BASKET
+    usual = slim.filter((F.size("_ids") > 1) & ~many).select(F.explode(behind).alias("x"))
+    wide = slim.filter(many).select(F.posexplode("_ids").alias("_i", "a"), "_ids").repartition(F.xxhash64("a", "_i"))
+    wide = wide.select(F.struct("a", F.slice("_ids", F.col("_i") + 2, F.size("_ids")).alias("rest")).alias("x"))
     pairs = (
-        first.select("a", F.explode(F.slice("_ids", F.col("_i") + 2, F.size("_ids"))).alias("b"))
+        usual.unionByName(wide).select(F.col("x.a").alias("a"), F.explode("x.rest").alias("b"))
         .groupBy("a", "b")
         .agg(F.count("*").alias("n_ab"))
         .filter(F.col("n_ab") >= least)

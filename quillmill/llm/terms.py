@@ -94,8 +94,6 @@ def ngram_counts(records: DataFrame, field: str, terms: str, max_n: int = 1, sal
         "field", F.element_at("suffix", 1), F.pmod(F.xxhash64(F.get("suffix", F.lit(1))), F.lit(salts))
     ).sortWithinPartitions("field", F.desc("suffix"), "new_from")
     counted = routed.mapInPandas(_stack_counts, "field string, gram array<string>, occurrences long, records long")
-    if max_n == 1:
-        return counted.groupBy("field", "gram").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     return counted.groupBy("field", "gram").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 

@@ -155,6 +155,19 @@ def test_pairs_edge_cases(spark):
     assert cooccurrence.item_pairs(d.limit(0), ["k"], "it").count() == 0
 
 
+def test_pairs_of_wide_baskets(spark, monkeypatch):
+    rng = random.Random(2)
+    data = [(i, [str(rng.randint(0, 15)) for _ in range(rng.randint(0, 20))]) for i in range(40)]
+    d = spark.createDataFrame(data, "k int, it array<string>")
+    want = {}
+    for _, b in data:
+        for x in itertools.combinations(sorted(set(b)), 2):
+            want[x] = want.get(x, 0) + 1
+    for wide in (1_000, 4):
+        monkeypatch.setattr(cooccurrence, "WIDE_BASKET", wide)
+        assert {(r["item_a"], r["item_b"]): r["n_ab"] for r in cooccurrence.item_pairs(d, ["k"], "it").collect()} == want
+
+
 @pytest.mark.parametrize("max_n", [1, 3])
 def test_terms_brute_force(spark, max_n):
     rng = random.Random(1)
