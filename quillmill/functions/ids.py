@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .coerce import pytrim
 
-# fixed values: the format of a code and its tokens
+# fixed values: the format of a code, of an English term, and a code's tokens
 CODE = r"^<\|cid_begin\|><s_a_\d+><s_b_\d+><s_c_\d+><\|cid_end\|>\z"
+TERM = r"^[A-Za-z0-9][A-Za-z0-9\s&+/\-,'().]*\z"
 TOKEN = r"<\|cid_begin\|>|<s_a_\d+>|<s_b_\d+>|<s_c_\d+>|<\|cid_end\|>"
 
 
@@ -40,5 +41,5 @@ def token_order(c: Column) -> list[Column]:
 
 
 def is_english_term(c: Column) -> Column:
-    ok = c.rlike(r"^[A-Za-z0-9][A-Za-z0-9\s&+/\-,'().]*\z") & c.rlike("[A-Za-z]")
+    ok = c.rlike(TERM) & c.rlike("[A-Za-z]")
     return F.coalesce(ok, F.lit(False))

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from .coerce import one_line, pytrim
 from .ids import is_english_term
 
-MAX_TERMS = 10  # fixed value: terms kept of an output or caption
+# fixed values: terms kept of an output or caption, the longest of a caption, marks between them, delimiters of a cut
+MAX_TERMS, LONGEST = 10, 40
+BETWEEN = r"[，,。.;；:：/|()\[\]\n]+"
+CUTS = (". ", "; ", ", ", "。", "；", "，")
 
 
 def clean_term(c: Column) -> Column:
@@ -35,7 +38,7 @@ def _terms(parts: Column, longest: int | None = None) -> Column:
 
 def caption_terms(c: Column) -> Column:
     """Up to ten English terms of at most 40 characters between punctuation marks; null or blank gives []."""
-    return _terms(F.split(F.coalesce(c, F.lit("")), r"[，,。.;；:：/|()\[\]\n]+"), 40)
+    return _terms(F.split(F.coalesce(c, F.lit("")), BETWEEN), LONGEST)
 
 
 def output_terms(c: Column) -> Column:
@@ -56,7 +59,7 @@ def trim_reasoning(c: Column, longest: int = 200) -> Column:
     s = one_line(c)
     cut = F.rtrim(F.left(s, F.lit(longest)))
     back = F.lit(None).cast("string")
-    for d in (". ", "; ", ", ", "。", "；", "，"):  # fixed values, in order
+    for d in CUTS:
         at = F.length(cut) - F.locate(d[::-1], F.reverse(cut)) - len(d) + 1
         back = F.coalesce(back, F.when((F.locate(d[::-1], F.reverse(cut)) > 0) & (at >= longest - 60), F.rtrim(F.left(cut, at + 1))))
     shut = F.concat(F.regexp_replace(cut, r"[ ,;，；。]+\z", ""), F.lit("..."))
@@ -82,16 +85,6 @@ def strip_think(c: Column) -> Column:
     return pytrim(F.regexp_replace(c, r"(?is)<think>.*?</think>", ""))
 
 
-def think_part(c: Column) -> Column:
-    """Text between the tags; before a lone closing tag; '' without tags."""
-    both = F.regexp_extract(c, r"(?s)<think>(.*?)</think>", 1)
-    return pytrim(F.when(c.contains("<think>") & c.contains("</think>"), both).when(c.contains("</think>"), F.substring_index(c, "</think>", 1)).otherwise(""))
-
-
-def answer_part(c: Column) -> Column:
-    return pytrim(F.when(c.contains("</think>"), F.regexp_replace(c, r"(?s)^.*?</think>", "")).otherwise(c))
-
-
 def safe_name(c: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(c, r"[^0-9A-Za-z_\-]", "_"), r"_+", "_"), F.lit("_"))
 

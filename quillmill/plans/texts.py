@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import coerce, ids, jsonx, scoring, text
-from ..operators import external, joins, sequence
+from ..operators import external, joins, rewards, sequence
 from .base import CODE_RX, TRIM, t
 
 
@@ -52,8 +52,8 @@ def text_preview(spark, d):
 
 
 def think_segments(spark, d):
-    c = _completions(spark, d)
-    return c.select("row_id", text.think_part(F.col("text")).alias("thought"), F.length(text.answer_part(F.col("text"))).alias("n_answer"))
+    c = _completions(spark, d).select("row_id", jsonx.segments_col(F.col("text")).alias("s"))
+    return c.select("row_id", "s.thought", "s.answer")
 
 
 def tid_coverage(spark, d):
@@ -114,19 +114,45 @@ def json_payload(spark, d):
 
 
 def format_penalty(spark, d):
-    r = _completions(spark, d).select("row_id", jsonx.format_report_col(F.col("text")).alias("r"))
+    r = _completions(spark, d).select("row_id", jsonx.form_col(F.col("text")).alias("r"))
     return r.select("row_id", "r.penalty", F.array_join("r.violations", "|").alias("violations"), "r.objects")
 
 
+def first_json_value(spark, d):
+    return _completions(spark, d).select("row_id", jsonx.first_value_col(F.col("text")).alias("json"))
+
+
+def canonical_answer(spark, d):
+    return _completions(spark, d).select("row_id", jsonx.canonical_answer_col(F.col("text"), F.lit("cid2ins")).alias("answer"))
+
+
+def parse_diagnosis(spark, d):
+    r = _completions(spark, d).select("row_id", jsonx.diagnosis_col(F.col("text")).alias("r"))
+    many = lambda c: F.array_join(f"r.{c}", "|").alias(c)
+    return r.select("row_id", "r.n_chars", many("parsed_fields"), many("recovered_fields"), many("keys"), "r.opened", "r.closed", "r.thoughts", "r.objects", "r.repeats")
+
+
+def named_candidates(spark, d):
+    """Two candidates of a row, the second one without reasoning in every fifth row, in a fence in every third."""
+    one = F.struct(F.coalesce("target_ins", F.lit("")).alias("prompt"), F.coalesce("reasoning", F.lit("none given")).alias("reasoning"))
+    two = F.struct(F.lit(" draw it ").alias("prompt"), F.when(F.col("row_id") % 5 == 0, F.lit(" ")).otherwise(F.lit("as said")).alias("reasoning"))
+    body = F.to_json(F.struct(one.alias("calm"), two.alias("bold")))
+    said = F.when(F.col("row_id") % 3 == 0, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```"))).otherwise(body)
+    r = _ins(spark, d).select("row_id", jsonx.named_candidates_col(said, ("calm", "bold")).alias("r"))
+    return r.select("row_id", "r.json", "r.error")
+
+
 def total_rewards(spark, d):
-    """Format, thinking, penalty and the heuristic judge's terms as one reward a completion."""
-    r = _completions(spark, d).select("row_id", "text", jsonx.format_report_col(F.col("text")).alias("f"), jsonx.recovered_col(F.col("text"))["json"].alias("json"))
-    got = r.withColumn("o", F.from_json("json", "target_tid array<string>, target_ins string"))
-    j = scoring.heuristic_judge(F.col("o.target_tid"), F.col("o.target_tid"), F.col("o.target_ins"))
-    fmt = scoring.format_reward(F.lit("cid2ins"), F.lit(""), F.col("o.target_tid"), F.col("o.target_ins"), F.col("f.violations"), F.col("f.objects"))
-    quality = scoring.weighted_mean([j["specificity"], j["creativity"], j["content_quality"], j["visual_generatability"]], [F.lit(1.0)] * 4)
-    main = scoring.MAIN * F.when(fmt >= 1, quality).otherwise(0.0)
-    return got.select("row_id", F.round(scoring.total_reward(main, scoring.think_reward(F.col("text")), fmt, F.col("f.penalty")), 6).alias("reward"))
+    """Rewards of answers to both tasks, their parts told apart."""
+    ins = _completions(spark, d).join(_ins(spark, d).select("row_id", "target_tid"), "row_id")
+    ins = ins.select("row_id", F.lit("cid2ins").alias("task"), "text", F.lit(None).cast("string").alias("gold_cid"), coerce.string_list(F.col("target_tid")).alias("gold_tid"))
+    v = t(spark, d, "valid_cid2cid").select("row_id", "target_sid", F.element_at(F.array_compact("hist_sid"), -1).alias("last"), F.size("hist_sid").alias("n")).filter("n > 0")
+    guess = F.when(F.col("row_id") % 2 == 0, F.col("target_sid")).otherwise(F.col("last"))
+    said = F.concat(F.lit("<think>A look at the history tells it.</think>"), F.to_json(F.struct(F.coalesce(guess, F.lit("")).alias("target_cid"))))
+    cid = v.select("row_id", F.lit("cid2cid").alias("task"), said.alias("text"), coerce.pytrim(F.col("target_sid")).alias("gold_cid"), F.array().cast("array<string>").alias("gold_tid"))
+    known = t(spark, d, "pid2cid2tid").select(coerce.pytrim(F.col("sid")).alias("sid")).filter(ids.is_code(F.col("sid")))
+    r = rewards.answer_rewards(ins.unionByName(cid), known, "sid")
+    return r.select("row_id", "task", *[F.round(c, 6).alias(c) for c in ("main", "think", "fmt", "penalty", "reward")])
 
 
 def sliding_failures(spark, d):
@@ -171,6 +197,14 @@ _BODY = "'{\"target_tid\":' || to_json(coalesce(target_tid, [])) || ',\"target_i
 _COMP = f"""WITH b AS (SELECT row_id, {_BODY} AS body, '<think>' || coalesce(reasoning, '') || '</think>' AS th FROM train_cid2ins),
 c AS (SELECT row_id, CASE row_id % 6 WHEN 0 THEN th || body WHEN 1 THEN '```json' || chr(10) || body || chr(10) || '```' WHEN 2 THEN body || ' and ' || body WHEN 3 THEN left(body, length(body) - 3) WHEN 4 THEN 'Sure: ' || body || ' bye' ELSE body END AS text FROM b)
 """
+_ANS = (
+    _COMP.rstrip()
+    + rf""", a AS (SELECT c.row_id, c.row_id % 6 AS k, c.text, {_BODY} AS body, coalesce(t.target_tid, []) AS tid, coalesce(t.target_ins, '') AS ins, coalesce(t.reasoning, '') AS r,
+ {TRIM.format("coalesce(t.target_ins, '')")} AS insc, {_CV} AS tidc, list_filter(coalesce(t.target_tid, []), lambda x: x IS NOT NULL AND x <> '') AS tids,
+ CASE WHEN length(rl) >= 10 AND NOT contains(rl, 'target_tid') AND NOT contains(rl, 'target_ins') THEN rl ELSE '' END AS rel
+ FROM c JOIN (SELECT *, {TRIM.format("regexp_extract(substr(to_json(coalesce(target_ins, ''))::VARCHAR, 2, greatest(length(to_json(coalesce(target_ins, ''))::VARCHAR) - 3, 0)), '^((?:[^" + chr(34) + "\\\\]|\\\\.)*)', 1)")} AS rl FROM train_cid2ins) t USING (row_id))
+"""
+)
 _COV = "CASE WHEN len({t}) = 0 OR s = '' THEN 0.0 ELSE len(list_filter({t}, lambda x: contains(s, x)))::DOUBLE / len({t}) END"
 _FOLD = "coalesce(list_filter(list_transform({}, lambda x: lower(trim(x))), lambda x: x IS NOT NULL AND x <> ''), [])"
 _SCORE = "(0.35 * {c} + 0.2 * n + 0.25 * a + 0.2 * {e} - CASE WHEN {c} < 5 OR {e} < 5 THEN 1.0 ELSE 0.0 END)"
@@ -207,8 +241,43 @@ round(CASE WHEN x = '' THEN 0 WHEN len(list_distinct(list_transform(w, lambda y:
 round(CASE WHEN x = '' THEN 0 ELSE least(greatest(length(x) / 160.0, 0.3), 0.9) END::DOUBLE, 4) AS content_quality, round(CASE WHEN x = '' THEN 0 ELSE greatest(cg, cp) END::DOUBLE, 4) AS visual_generatability,
 round(cg, 4) AS ins_vs_gt_tid, round(cp, 4) AS ins_vs_pred_tid, round(CASE WHEN len(pd) = 0 OR len(gd) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(pd, gd)) / (len(pd) + len(gd)) END::DOUBLE, 4) AS pred_tid_vs_gt_tid FROM c""",
     "think_reward": _COMP + r"SELECT row_id, CASE WHEN contains(text, '<think>') AND contains(text, '</think>') AND length(regexp_replace(regexp_extract(text, '(?s)<think>(.*?)</think>', 1), '\s+', '', 'g')) > 10 THEN 1.0 ELSE 0.0 END::DOUBLE AS reward FROM c",
-    "think_segments": _COMP
-    + r"SELECT row_id, CASE WHEN contains(text, '</think>') THEN regexp_replace(regexp_extract(text, '(?s)<think>(.*?)</think>', 1), '^\s+|\s+$', '', 'g') ELSE '' END AS thought, length(regexp_replace(CASE WHEN contains(text, '</think>') THEN regexp_replace(text, '(?s)^.*?</think>', '') ELSE text END, '^\s+|\s+$', '', 'g'))::INT AS n_answer FROM c",
+    "think_segments": _ANS + "SELECT row_id, CASE k WHEN 0 THEN " + TRIM.format("r") + " WHEN 3 THEN text WHEN 4 THEN 'Sure:' ELSE '' END AS thought, CASE k WHEN 2 THEN text WHEN 3 THEN '' WHEN 4 THEN body || ' bye' ELSE body END AS answer FROM a",
+    "json_recover": _ANS + """SELECT row_id, CASE WHEN k <> 3 THEN '{"target_ins":' || to_json(ins) || ',"target_tid":' || to_json(tid) || '}'
+ WHEN len(tids) > 0 AND rel <> '' THEN '{"target_ins":' || to_json(rel) || ',"target_tid":' || to_json(tids) || '}' WHEN len(tids) > 0 THEN '{"target_tid":' || to_json(tids) || '}'
+ WHEN rel <> '' THEN '{"target_ins":' || to_json(rel) || '}' END AS json,
+CASE WHEN k = 3 AND len(tids) = 0 AND rel = '' THEN 'no object or field' WHEN len(tids) = 0 THEN 'missing target_tid' WHEN (k <> 3 AND insc = '') OR (k = 3 AND rel = '') THEN 'missing target_ins' END AS error FROM a""",
+    "last_balanced_json": _ANS + "SELECT row_id, CASE WHEN k <> 3 THEN body END AS json FROM a",
+    "truncate_json": _ANS + "SELECT row_id, CASE WHEN k <> 3 THEN body ELSE text END AS text FROM a",
+    "json_payload": _ANS + "SELECT row_id, CASE k WHEN 2 THEN NULL WHEN 3 THEN to_json(tid)::VARCHAR ELSE body END AS json FROM a",
+    "first_json_value": _ANS + "SELECT row_id, CASE k WHEN 3 THEN to_json(tid)::VARCHAR ELSE body END AS json FROM a",
+    "format_penalty": _ANS
+    + """SELECT row_id, CASE k WHEN 2 THEN 0.85 WHEN 3 THEN 0.2 WHEN 4 THEN 0.65 ELSE 0.0 END::DOUBLE AS penalty,
+CASE k WHEN 2 THEN 'text_after_json|multiple_json_objects|repeated_target_keys' WHEN 3 THEN 'text_before_json' WHEN 4 THEN 'text_before_json|text_after_json' ELSE '' END AS violations,
+CASE k WHEN 2 THEN 2 WHEN 3 THEN 0 ELSE 1 END::INT AS objects FROM a""",
+    "canonical_answer": _ANS
+    + """, b2 AS (SELECT *, CASE k WHEN 0 THEN """ + TRIM.format("r") + """ WHEN 3 THEN text WHEN 4 THEN 'Sure:' ELSE '' END AS th, CASE k WHEN 2 THEN text WHEN 3 THEN '' WHEN 4 THEN body || ' bye' ELSE body END AS an,
+ CASE WHEN k = 3 THEN '' ELSE insc END AS i2 FROM a), c2 AS (SELECT *, CASE WHEN len(tidc) > 0 AND i2 <> '' THEN '{"target_tid":' || to_json(tidc) || ',"target_ins":' || to_json(i2) || '}'
+ WHEN len(tidc) > 0 THEN '{"target_tid":' || to_json(tidc) || '}' WHEN i2 <> '' THEN '{"target_ins":' || to_json(i2) || '}' ELSE an END AS res FROM b2)
+SELECT row_id, CASE WHEN th <> '' THEN '<think>' || chr(10) || th || chr(10) || '</think>' || CASE WHEN res <> '' THEN chr(10) || res ELSE '' END ELSE res END AS answer FROM c2""",
+    "parse_diagnosis": _ANS
+    + """SELECT row_id, length(text)::INT AS n_chars, CASE WHEN k <> 3 THEN 'target_ins|target_tid' WHEN len(tid) > 0 THEN 'target_tid' ELSE '' END AS parsed_fields,
+CASE WHEN k <> 3 AND insc <> '' AND len(tid) > 0 THEN 'target_ins|target_tid' WHEN k <> 3 AND insc <> '' THEN 'target_ins' WHEN len(tid) > 0 THEN 'target_tid' ELSE '' END AS recovered_fields,
+CASE WHEN k = 3 AND ins = '' THEN 'target_tid|target_ins' ELSE 'target_tid|target_ins' END AS keys, (k = 0)::INT AS opened, (k = 0)::INT AS closed, (k = 0)::INT AS thoughts,
+CASE k WHEN 2 THEN 2 WHEN 3 THEN 0 ELSE 1 END::INT AS objects, CASE k WHEN 2 THEN 2 ELSE 0 END::INT AS repeats FROM a""",
+    "named_candidates": rf"""WITH a AS (SELECT row_id, {TRIM.format("coalesce(target_ins, '')")} AS p, {TRIM.format("coalesce(reasoning, 'none given')")} AS r FROM train_cid2ins),
+b AS (SELECT *, CASE WHEN p = '' THEN 'empty prompt of calm' WHEN r = '' THEN 'empty reasoning of calm' WHEN row_id % 5 = 0 THEN 'empty reasoning of bold' END AS error FROM a)
+SELECT row_id, CASE WHEN error IS NULL THEN '{{"calm":{{"prompt":' || to_json(p) || ',"reasoning":' || to_json(r) || '}},"bold":{{"prompt":"draw it","reasoning":"as said"}}}}' END AS json, error FROM b""",
+    "caption_terms": rf"""WITH a AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[，,。.;；:：/|()\[\]
+]+'), lambda x: {_CT.format('x')}), lambda x: x <> '' AND length(x) <= 40 AND {_EN.format('x')}) AS c FROM documents),
+b AS (SELECT doc_id, c, list_transform(c, lambda y: lower(y)) AS l FROM a)
+SELECT doc_id, coalesce(array_to_string(list_filter(c, lambda x, i: list_position(l, lower(x)) = i)[1:10], '|'), '') AS terms FROM b""",
+    "output_terms": rf"""WITH s AS (SELECT row_id, regexp_extract('Here: {{"terms": [' || coalesce(array_to_string(list_transform({_CV}, lambda x: '"' || x || '"'), ', '), '') || ']}} done', '(?s)\{{.*"terms"\s*:\s*\[(.*?)\].*\}}', 1) AS n FROM train_cid2ins),
+a AS (SELECT row_id, CASE WHEN n = '' THEN [] ELSE list_filter(list_transform(regexp_split_to_array(replace(n, chr(10), ' '), '\s*,\s*'), lambda x: {_CT.format('x')}), lambda x: x <> '' AND {_EN.format('x')}) END AS c FROM s),
+b AS (SELECT row_id, c, list_transform(c, lambda y: lower(y)) AS l FROM a)
+SELECT row_id, coalesce(array_to_string(list_filter(c, lambda x, i: list_position(l, lower(x)) = i)[1:10], '|'), '') AS terms FROM b""",
+    "reasoning_trim": r"""WITH a AS (SELECT row_id, trim(regexp_replace(reasoning, '\s+', ' ', 'g')) AS s FROM train_cid2ins WHERE reasoning IS NOT NULL), b AS (SELECT *, rtrim(left(s, 200)) AS c FROM a),
+x AS (SELECT *, """ + ", ".join(f"CASE WHEN contains(c, '{x}') THEN length(c) - position('{x[::-1]}' IN reverse(c)) - {len(x)} + 1 ELSE -1 END AS d{i}" for i, x in enumerate(text.CUTS)) + r""" FROM b)
+SELECT row_id, CASE WHEN length(s) <= 200 THEN s """ + " ".join(f"WHEN d{i} >= 140 THEN rtrim(left(c, d{i} + 1))" for i in range(len(text.CUTS))) + r""" ELSE regexp_replace(c, '[ ,;，；。]+$', '') || '...' END AS short FROM x""",
     "sliding_failures": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS recent FROM events WHERE event_type = 'error'",
     "failure_windows": """WITH e AS (SELECT date_trunc('hour', ts) AS h FROM events WHERE event_type = 'error'), w AS (SELECT h AS window_start FROM e UNION ALL SELECT h - INTERVAL 1 HOUR FROM e)
 SELECT window_start, 'error' AS event_type, count(*) AS n FROM w GROUP BY 1""",
@@ -218,7 +287,4 @@ SELECT event_id, (sum(f::INT) OVER (PARTITION BY user_id, isle ORDER BY ts, even
     "rank_merge": "SELECT row_id AS row_idx, 'valid' AS split, uid FROM valid_cid2cid UNION ALL SELECT row_id, 'test', uid FROM test_cid2cid",
     "external_ask": "SELECT doc_id, array_to_string(list_reverse(string_split(coalesce(source, 'no source'), ' ')), ' ') AS answer, true AS ok FROM documents",
 }
-QUERIES = {
-    k: globals()[k]
-    for k in (*SQL, "caption_terms", "output_terms", "reasoning_trim", "json_recover", "last_balanced_json", "truncate_json", "json_payload", "format_penalty", "total_rewards")
-}
+QUERIES = {k: globals()[k] for k in (*SQL, "total_rewards")}

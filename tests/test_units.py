@@ -94,19 +94,60 @@ def test_limits(spark):
     assert one(spark, limits.text_seed(F.col("a"))) == 0
 
 
-def test_format_report():
-    r = jsonx.format_report('{"target_cid":"x"} bye')
-    assert (r["penalty"], r["violations"]) == (0.45, ["text_after_json"])
-    assert jsonx.format_report(None)["objects"] == 0
+@pytest.mark.parametrize(
+    "said,penalty,violations",
+    [
+        ('{"target_cid":"x"} bye', 0.45, ["text_after_json"]), (None, 0.0, []), ("<think>a</think> {}", 0.0, []), ("```json\n{}\n```", 0.0, []),
+        ("<think>a</think><think>b</think>{}", 0.4, ["multiple_think_blocks", "text_before_json"]), ("x <THINK>a</THINK>{}", 0.3, ["think_not_at_start", "text_before_json"]),
+        ('<think>{"target_cid":1,"target_cid":2}', 0.65, ["unbalanced_think_tags", "text_before_json", "repeated_target_keys"]), ("{} {}", 0.65, ["text_after_json", "multiple_json_objects"]),
+    ],
+)
+def test_form(said, penalty, violations):
+    got = jsonx.form(said)
+    assert (got["penalty"], got["violations"]) == (penalty, violations)
 
 
 def test_json():
-    assert jsonx.last_object('a {"x":1} b {"y":{"z":2}} c') == '{"z":2}' or jsonx.last_object('{"y":1} {bad') == '{"y":1}'
-    assert jsonx.cut_to_object('x {"a":"}"} y') == '{"a":"}"}'
-    assert jsonx.payload('```json\n[1, 2]\n```') == "[1,2]"
+    assert jsonx.last_object('a {"x":1} b {"y":{"z":2}} c') == '{"z":2}' and jsonx.last_object('{"y":1} {bad') == '{"y":1}' and jsonx.last_object(None) is None
+    assert jsonx.cut_to_object('x {"a":"}"} y') == '{"a":"}"}' and jsonx.cut_to_object("x {a") == "x {a"
+    assert jsonx.payload('```json\n[1, 2]\n```') == "[1,2]" and jsonx.payload("so [1] it {2") == "[1]"
     js, err = jsonx.recovered('<think>t</think>{"target_tid":["a"]} "target_ins": "draw it"')
     assert json.loads(js) == {"target_tid": ["a"], "target_ins": "draw it"} and err is None
-    assert jsonx.recovered("nothing")[0] is None
+    assert jsonx.recovered("nothing") == (None, "no object or field")
+    assert json.loads(jsonx.recovered('{"target_tid": ["a"], target_ins: "a lamp on {a} wide desk", target_ins: "a lamp on a des')[0]) == {"target_tid": ["a"], "target_ins": "a lamp on a des"}
+    assert [o for *_, o in jsonx.objects('{"a": {"b": 1}, "c": oops {"d": 2} {')] == [{"b": 1}, {"d": 2}]
+    assert jsonx.first_value("so: [1, {") is None and jsonx.first_value('so: {x [1, 2] {"a":1}') == "[1,2]"
+
+
+def test_json_of_many_braces():
+    import time
+
+    t = time.time()
+    for text in ("{" * 50_000, '{"a":' * 20_000, '{"a":[' * 20_000, "{}" * 50_000, '{"' * 30_000):
+        jsonx.form(text), jsonx.recovered(text), jsonx.last_object(text), jsonx.cut_to_object(text), jsonx.first_value(text[:3_000])
+    assert time.time() - t < 30
+
+
+def test_segments():
+    f = jsonx.segments
+    assert f("<think> a </think> b") == ("a", "b") and f("a</think>b") == ("a", "b") and f('so {"x":1} end') == ("so", '{"x":1} end')
+    assert f("all thought") == ("all thought", "") and f(None) == ("", "")
+    assert jsonx.canonical_answer('so {"target_cid": "[\\"x\\"]"}', "cid2cid") == '<think>\nso\n</think>\n{"target_cid":"x"}'
+    assert jsonx.canonical_answer("plain", "other") == "<think>\nplain\n</think>"
+    assert jsonx.named_candidates('{"prompt":" p ","reasoning":"r"}', ()) == ('{"prompt":"p","reasoning":"r"}', None)
+
+
+def test_rewards(spark):
+    from quillmill.operators import rewards
+
+    c = CODE.format(1, 2, 3)
+    said = "<think>a longer thought</think>" + json.dumps({"target_cid": c})
+    rows = [(1, "cid2cid", said, c, None, False), (2, "cid2cid", "no", c, None, False), (3, "cid2ins", '{"target_tid":["a"],"target_ins":"an a"}', None, ["a"], True), (4, "?", said, c, None, None), (5, None, None, None, None, None)]
+    d = spark.createDataFrame(rows, "k int, task string, text string, gold_cid string, gold_tid array<string>, bad boolean")
+    known = spark.createDataFrame([(c,)], "sid string")
+    got = {r["k"]: r for r in rewards.answer_rewards(d, known, "sid", failed="bad").collect()}
+    assert abs(got[1]["reward"] - 1.0) < 1e-9 and got[2]["reward"] == 0 == got[4]["reward"] == got[5]["reward"]
+    assert abs(got[3]["reward"] - (0.9 * 0.1 * 0.2 + 0.1)) < 1e-9
 
 
 def test_terms(spark):
