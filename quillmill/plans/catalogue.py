@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("metrics", "joining", "samples", "texts")
+MODULES = ("metrics", "joining", "samples", "texts", "answers")
 
 
 def queries() -> dict:

@@ -46,13 +46,15 @@ def rl_rows(spark, d):
 
 
 def packing_next_fit(spark, d):
-    docs = t(spark, d, "documents").filter("source IS NOT NULL").select("source", "doc_id", F.size(F.split(F.coalesce("text", F.lit("")), " ")).alias("n_words"))
-    return sequence.next_fit(docs, "source", "doc_id", "n_words", 512)
+    docs = t(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", F.size(F.split(F.coalesce("text", F.lit("")), " ")).alias("n_words"))
+    return sequence.next_fit(docs, "source", "doc_id", "n_words", 2048)
 
 
 def pad_collate(spark, d):
+    """Lists of term lengths, padded to the longest list of the table."""
     lens = t(spark, d, "train_cid2ins").select("row_id", F.transform(coerce.string_list(F.col("target_tid")), lambda x: F.length(x)).alias("a"))
-    p = lens.select("row_id", sequence.padded(F.slice("a", 1, 32), 32, 0).alias("ids"), sequence.padded(F.transform(F.slice("a", 1, 32), lambda x: F.lit(1)), 32, 0).alias("mask"))
+    width = lens.agg(F.max(F.size("a"))).first()[0] or 0
+    p = lens.select("row_id", sequence.padded(F.col("a"), width, 0).alias("ids"), sequence.padded(F.transform("a", lambda x: F.lit(1)), width, 0).alias("mask"))
     return p.select("row_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"), F.aggregate("mask", F.lit(0), lambda s, x: s + x).alias("n"))
 
 
@@ -104,14 +106,14 @@ SQL = {
     "tid2tid_samples": f"SELECT row_id, {_TH} || '{{\"target_tid\":' || {_J.format('target_tid')} || '}}' AS assistant FROM train_cid2ins WHERE target_tid IS NOT NULL AND len({_L.format('target_tid')}) > 0",
     "rl_rows": """SELECT row_id, 'cid2cid' AS task, 'valid' AS split, coalesce(uid, '') AS uid, coalesce(len(hist_sid), 0)::INT AS n_hist, coalesce(target_sid, '') AS gold_target_cid, '' AS gold_target_tid, '' AS gold_target_ins FROM valid_cid2cid
 UNION ALL SELECT row_id, 'cid2ins', 'train', coalesce(uid, ''), coalesce(len(hist_sid), 0)::INT, '', coalesce(array_to_string(list_filter(target_tid, lambda x: x IS NOT NULL), '|'), ''), coalesce(target_ins, '') FROM train_cid2ins""",
-    "packing_next_fit": """WITH RECURSIVE p AS (SELECT source, doc_id, len(string_split(coalesce(text, ''), ' '))::INT AS n_words, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents
-  WHERE source IS NOT NULL AND len(string_split(coalesce(text, ''), ' ')) BETWEEN 1 AND 512),
+    "packing_next_fit": """WITH RECURSIVE d AS (SELECT coalesce(source, '') AS source, doc_id, text FROM documents), p AS (SELECT source, doc_id, len(string_split(coalesce(text, ''), ' '))::INT AS n_words, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM d
+  WHERE len(string_split(coalesce(text, ''), ' ')) BETWEEN 1 AND 2048),
 r AS (SELECT source, doc_id, n_words, k, 0 AS pack, n_words AS used FROM p WHERE k = 1
-  UNION ALL SELECT p.source, p.doc_id, p.n_words, p.k, CASE WHEN r.used + p.n_words > 512 THEN r.pack + 1 ELSE r.pack END, CASE WHEN r.used + p.n_words > 512 THEN p.n_words ELSE r.used + p.n_words END
+  UNION ALL SELECT p.source, p.doc_id, p.n_words, p.k, CASE WHEN r.used + p.n_words > 2048 THEN r.pack + 1 ELSE r.pack END, CASE WHEN r.used + p.n_words > 2048 THEN p.n_words ELSE r.used + p.n_words END
   FROM r JOIN p ON p.source = r.source AND p.k = r.k + 1)
 SELECT source, doc_id, n_words, pack::INT AS pack FROM r""",
-    "pad_collate": f"""WITH a AS (SELECT row_id, list_transform({_L.format('target_tid')}, lambda x: length(x))[1:32] AS a FROM train_cid2ins)
-SELECT row_id, array_to_string(list_concat(a, list_transform(range(0, 32 - len(a)), lambda x: 0)), ' ') AS ids, len(a)::INT AS n FROM a""",
+    "pad_collate": f"""WITH a AS (SELECT row_id, list_transform({_L.format('target_tid')}, lambda x: length(x)) AS a FROM train_cid2ins), w AS (SELECT max(len(a)) AS m FROM a)
+SELECT row_id, array_to_string(list_concat(a, list_transform(range(0, m - len(a)), lambda x: 0)), ' ') AS ids, len(a)::INT AS n FROM a, w""",
     "round_robin_shards": "SELECT row_id % 7 AS shard, count(*) AS n, min(row_id) AS first_row FROM train_cid2cid GROUP BY 1",
     "fixed_chunks": "SELECT event_id // 50 AS chunk, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY 1",
     "limit_before_vs_after_filter": """SELECT event_id, event_type, 'before' AS kind FROM events WHERE event_id < 100 AND event_type = 'click'

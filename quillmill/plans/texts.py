@@ -20,14 +20,6 @@ def alias_coalesce(spark, d):
     return _ins(spark, d).select("row_id", coerce.first_filled(F.col("reasoning"), F.col("target_ins")).alias("value"))
 
 
-def three_schema_dispatch(spark, d):
-    """One target text from whichever layout a row has: terms, else the instruction, else an error."""
-    terms = coerce.clean_values(F.col("target_tid"))
-    form = F.when(F.size(terms) > 0, "terms").when(coerce.first_filled(F.col("target_ins")).isNotNull(), "text").otherwise("error")
-    r = _ins(spark, d).select("row_id", form.alias("form"), coerce.target_text(terms).alias("tt"), coerce.first_filled(F.col("target_ins")).alias("ti"))
-    return r.select("row_id", "form", F.when(F.col("form") == "terms", F.col("tt")).when(F.col("form") == "text", F.col("ti")).otherwise("").alias("target"))
-
-
 def term_clean(spark, d):
     terms = t(spark, d, "pid2cid2tid").select(F.explode("tid").alias("raw")).filter("raw IS NOT NULL").distinct()
     c = text.clean_term(F.col("raw"))
@@ -218,8 +210,6 @@ def _layer(n):
 SQL = {
     "history_format": f"WITH a AS (SELECT row_id, {_CV} AS c FROM train_cid2ins) SELECT row_id, '1. ' || coalesce(array_to_string(c, ', '), '') || chr(10) || '2. ' || coalesce(array_to_string(c[1:1], ', '), '') AS history FROM a",
     "alias_coalesce": f"SELECT row_id, coalesce(nullif({TRIM.format('reasoning')}, ''), nullif({TRIM.format('target_ins')}, '')) AS value FROM train_cid2ins",
-    "three_schema_dispatch": f"""WITH a AS (SELECT row_id, {_CV} AS c, nullif({TRIM.format('target_ins')}, '') AS i FROM train_cid2ins)
-SELECT row_id, CASE WHEN len(c) > 0 THEN 'terms' WHEN i IS NOT NULL THEN 'text' ELSE 'error' END AS form, CASE WHEN len(c) > 0 THEN array_to_string(c, ', ') WHEN i IS NOT NULL THEN i ELSE '' END AS target FROM a""",
     "term_clean": f"WITH a AS (SELECT DISTINCT raw FROM (SELECT unnest(tid) AS raw FROM pid2cid2tid) WHERE raw IS NOT NULL), b AS (SELECT raw, {_CT.format('raw')} AS term FROM a) SELECT raw, term, {_EN.format('term')} AS english FROM b",
     "text_preview": r"""WITH a AS (SELECT row_id, trim(regexp_replace(target_ins, '\s+', ' ', 'g')) AS s, source_dataset FROM train_cid2ins)
 SELECT row_id, CASE WHEN length(s) > 40 THEN left(s, 40) || '...<truncated>' ELSE s END AS preview, trim(regexp_replace(regexp_replace(source_dataset, '[^0-9A-Za-z_\-]', '_', 'g'), '_+', '_', 'g'), '_') AS name FROM a""",
@@ -246,7 +236,8 @@ round(cg, 4) AS ins_vs_gt_tid, round(cp, 4) AS ins_vs_pred_tid, round(CASE WHEN
  WHEN len(tids) > 0 AND rel <> '' THEN '{"target_ins":' || to_json(rel) || ',"target_tid":' || to_json(tids) || '}' WHEN len(tids) > 0 THEN '{"target_tid":' || to_json(tids) || '}'
  WHEN rel <> '' THEN '{"target_ins":' || to_json(rel) || '}' END AS json,
 CASE WHEN k = 3 AND len(tids) = 0 AND rel = '' THEN 'no object or field' WHEN len(tids) = 0 THEN 'missing target_tid' WHEN (k <> 3 AND insc = '') OR (k = 3 AND rel = '') THEN 'missing target_ins' END AS error FROM a""",
-    "last_balanced_json": _ANS + "SELECT row_id, CASE WHEN k <> 3 THEN body END AS json FROM a",
+    # braces count wherever they stand, so an empty pair in the instruction is the last object
+    "last_balanced_json": _ANS + r"SELECT row_id, CASE WHEN k <> 3 AND regexp_matches(ins, '\{\s*\}') THEN '{}' WHEN k <> 3 THEN body END AS json FROM a",
     "truncate_json": _ANS + "SELECT row_id, CASE WHEN k <> 3 THEN body ELSE text END AS text FROM a",
     "json_payload": _ANS + "SELECT row_id, CASE k WHEN 2 THEN NULL WHEN 3 THEN to_json(tid)::VARCHAR ELSE body END AS json FROM a",
     "first_json_value": _ANS + "SELECT row_id, CASE k WHEN 3 THEN to_json(tid)::VARCHAR ELSE body END AS json FROM a",

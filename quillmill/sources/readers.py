@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.coerce import clean_values, parse_list_string, pytrim
+from ..functions.coerce import clean_values, first_filled, parse_list_string, pytrim
 
-CONTAINERS = ("records", "results", "data", "items")  # fixed values
+# fixed values: names of a list in a document, and of a caption
+CONTAINERS = ("records", "results", "data", "items")
+CAPTIONS = ("caption", "item_caption", "description", "text")
 
 
 def parquet(spark: SparkSession, *paths: str, columns: list[str] | None = None, ordered: bool = False) -> DataFrame:
@@ -41,10 +42,25 @@ def map_document(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.posexplode(F.map_entries(F.from_json("value", "map<string,string>"))).alias("pos", "e")).select("pos", F.col("e.key").alias("id"), F.col("e.value").alias("caption"))
 
 
-def terms_by_pid(spark: SparkSession, path: str) -> DataFrame:
-    """``id, tid``: an object {id: terms or text}; stripped, without empty ones, the last of an id counts."""
+def captions(spark: SparkSession, path: str) -> DataFrame:
+    """``pos, id, caption`` of a document in either form: an object of texts, or a list of objects whose text stands under
+    one of the usual names. A document is one row here, as JSON has no other split point; use lines for large inputs."""
     raw = spark.read.text(path, wholetext=True)
-    e = raw.select(F.posexplode(F.map_entries(F.from_json("value", "map<string,string>"))).alias("pos", "e"))
+    mapped = raw.filter(F.ltrim("value").startswith("{")).select(F.posexplode(F.map_entries(F.from_json("value", "map<string,string>"))).alias("pos", "e"))
+    mapped = mapped.select("pos", F.col("e.key").alias("id"), F.col("e.value").alias("caption"))
+    kind = "array<struct<id:string," + ",".join(f"{c}:string" for c in CAPTIONS) + ">>"
+    listed = raw.filter(F.ltrim("value").startswith("[")).select(F.posexplode(F.from_json("value", kind)).alias("pos", "e"))
+    return mapped.unionByName(listed.select("pos", F.col("e.id").alias("id"), first_filled(*[F.col(f"e.{c}") for c in CAPTIONS]).alias("caption")))
+
+
+def terms_by_pid(spark: SparkSession, path: str) -> DataFrame:
+    """``id, tid``: an object {id: terms or text}, or a list of {id, tid}; stripped, without empty ones, the last of an id
+    counts. Another root is an error."""
+    raw = spark.read.text(path, wholetext=True).withColumn("value", F.ltrim("value"))
+    bad = F.raise_error(F.lit("neither an object nor a list")).cast("array<struct<key:string,value:string>>")
+    listed = F.transform(F.from_json("value", "array<struct<id:string,tid:string>>"), lambda e: F.struct(e["id"].alias("key"), e["tid"].alias("value")))
+    each = F.when(F.col("value").startswith("{"), F.map_entries(F.from_json("value", "map<string,string>"))).when(F.col("value").startswith("["), listed).otherwise(bad)
+    e = raw.select(F.posexplode(each).alias("pos", "e"))
     d = e.select("pos", pytrim(F.col("e.key")).alias("id"), clean_values(parse_list_string(F.col("e.value"))).alias("tid")).filter((F.col("id") != "") & (F.size("tid") > 0))
     return d.groupBy("id").agg(F.max_by("tid", "pos").alias("tid"))
 
@@ -61,15 +77,6 @@ def contained(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return d.select(F.explode(F.coalesce(*CONTAINERS)).alias("r")).select("r.*")
 
 
-def checkpoint_lines(spark: SparkSession, path: str, total: int) -> DataFrame:
-    """``idx, value`` of an append log ({type, index, value} lines): broken lines and indexes outside [0, total) are
-    skipped, later lines win."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("f"), F.monotonically_increasing_id().alias("line"))
-    e = raw.select("f", "line", F.from_json("value", "struct<type:string,index:bigint,value:string>").alias("e")).filter("e.type = 'item' AND e.value IS NOT NULL")
-    e = e.select("f", "line", F.col("e.index").alias("idx"), F.col("e.value").alias("value")).filter((F.col("idx") >= 0) & (F.col("idx") < total))
-    return e.groupBy("idx").agg(F.max_by("value", F.struct("f", "line")).alias("value"))
-
-
 def with_dataset(df: DataFrame, suffix: str) -> DataFrame:
     """``dataset``: the file's name without its suffix (``df`` must come straight from files)."""
     return df.withColumn("dataset", F.regexp_replace(F.col("_metadata.file_name"), f"{suffix}$", ""))
@@ -81,13 +88,50 @@ def tsv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(F.trim("value") != "").select(p[0].alias("uid"), F.get(p, F.lit(1)).alias("prompt"), F.get(p, F.lit(2)).alias("ds"))
 
 
-def first_existing(*paths: str) -> str:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, on any file system that Spark knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def first_existing(spark: SparkSession, *paths: str) -> str:
     for p in paths:
-        if os.path.exists(p):
+        if exists(spark, p):
             return p
     raise FileNotFoundError(", ".join(paths))
 
 
+def discovered(spark: SparkSession, folder: str, *asked: str, suffix: str = ".parquet") -> list[str]:
+    """Sorted paths of the files that the names, short names (without suffix) or patterns ask for; none asks for all. A
+    name that matches nothing is an error."""
+    pattern = lambda name: f"{folder}/{name}" if "*" in name or name.endswith(suffix) else f"{folder}/{name}{suffix}"
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    out: set[str] = set()
+    for name in asked or (f"*{suffix}",):
+        at = hadoop.Path(pattern(name))
+        found = at.getFileSystem(conf).globStatus(at)
+        if not found:
+            raise FileNotFoundError(pattern(name))
+        out |= {f.getPath().toString() for f in found}
+    return sorted(out)
+
+
+def numbered(df: DataFrame, *order: str, limit: int | None = None) -> DataFrame:
+    """``row_idx``: 0-based places in the order (a total one). Counts per sorted partition are summed on the driver, so no
+    task holds all rows; ``limit`` keeps the first ones."""
+    d = df.orderBy(*order)
+    if limit is not None:
+        d = d.limit(limit)
+    d = d.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftrightunsigned("_at", 33))
+    before, starts = 0, []
+    for row in sorted(d.groupBy("_part").agg(F.count("*").alias("n")).collect()):  # a row per partition
+        starts.append((row["_part"], before))
+        before += row["n"]
+    begin = d.sparkSession.createDataFrame(starts, "_part long, _begin long")
+    place = F.col("_begin") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return d.join(F.broadcast(begin), "_part").select(place.alias("row_idx"), *df.columns)
+
+
 def env_file(text: str) -> dict[str, str]:
     """KEY=VALUE lines with optional ``export``, comments and quotes."""
     out = {}
@@ -112,5 +156,17 @@ class Settings:
     def flag(self, name: str) -> bool:
         return self.get(name).lower() in {"1", "true", "yes", "y", "on"}
 
-    def keys(self, name: str) -> list[str]:
-        return [k for k in self.get(name).replace(",", " ").split() if k]
+    def number(self, name: str, default: float, kind: type = int) -> float:
+        """A number; a text that is none is an error that names the setting."""
+        text = self.get(name)
+        try:
+            return kind(text) if text else default
+        except ValueError:
+            raise ValueError(f"{name}: {text!r} is no {kind.__name__}") from None
+
+    def keys(self, *names: str) -> list[str]:
+        """Distinct keys, in order, of the first of the names that has any; none at all is an error."""
+        for name in names:
+            if found := list(dict.fromkeys(self.get(name).replace(",", " ").split())):
+                return found
+        raise ValueError("no key under " + ", ".join(names))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +18,16 @@ def json_rows(df: DataFrame, path: str, mode: str = "overwrite", by: list[str] =
     (w.partitionBy(*by) if by else w).json(path)
 
 
-def with_failures(df: DataFrame, error: Column, out: str, failed: str) -> None:
-    """Rows without an error to ``out``, dead letters {error, sample} to ``failed``."""
-    d = df.withColumn("_e", error)
-    json_rows(d.filter("_e IS NULL").drop("_e"), out)
-    json_rows(d.filter("_e IS NOT NULL").select(F.col("_e").alias("error"), F.struct(*df.columns).alias("sample")), failed)
+def with_failures(df: DataFrame, error: Column, out: str, failed: str, index: str | None = None, sample_id: str | None = None) -> None:
+    """Rows without an error to ``out``, dead letters {index, sample_id, error, sample} to ``failed``. The rows, which may
+    have cost a model call each, are computed once and held on disk between the two writes."""
+    d = df.withColumn("_e", error).persist(StorageLevel.DISK_ONLY)
+    named = [(F.col(c) if c else F.lit(None).cast("string")).alias(n) for n, c in (("index", index), ("sample_id", sample_id))]
+    try:
+        json_rows(d.filter("_e IS NULL").drop("_e"), out)
+        json_rows(d.filter("_e IS NOT NULL").select(*named, F.col("_e").alias("error"), F.struct(*df.columns).alias("sample")), failed)
+    finally:
+        d.unpersist()
 
 
 def merged_ranks(parts: list[DataFrame], order: str = "row_idx") -> DataFrame:
@@ -29,9 +36,39 @@ def merged_ranks(parts: list[DataFrame], order: str = "row_idx") -> DataFrame:
     return d.orderBy(F.coalesce(order, F.lit(-1)))
 
 
-def vocabulary(tokens: DataFrame, path: str) -> None:
-    """Distinct tokens in vocabulary order, one text file (a vocabulary is bounded by its layers' sizes)."""
-    tokens.select("token").distinct().orderBy(*ids.token_order(F.col("token"))).coalesce(1).write.mode("overwrite").text(path)
+def vocabulary(tokens: DataFrame, path: str, known: DataFrame | None = None) -> None:
+    """Distinct tokens in vocabulary order as ``tokens`` (text), as ``vocabulary`` (JSON {token, id}) and their numbers by
+    kind as ``summary`` (JSON), one file each: a vocabulary is bounded by its layers' sizes. ``known``: tokens (``token``) that
+    a model has already; the summary tells how many are new."""
+    t = tokens.select("token").distinct()
+    ordered = t.orderBy(*ids.token_order(F.col("token"))).coalesce(1)
+    ordered.write.mode("overwrite").text(f"{path}/tokens")
+    ordered.select("token", F.monotonically_increasing_id().alias("id")).write.mode("overwrite").json(f"{path}/vocabulary")
+    kind = F.coalesce(F.nullif(F.regexp_extract("token", r"^<s_([abc])_\d+>$", 1), F.lit("")), F.lit("mark"))
+    had = (known if known is not None else t.limit(0)).select("token").distinct().withColumn("_had", F.lit(True))
+    n = t.join(had, "token", "left").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.count_if(F.col("_had").isNull()).alias("n_new"))
+    n.orderBy("kind").coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+
+
+def codes_in_order(codes: DataFrame, code: str) -> DataFrame:
+    """The distinct codes by text, as a prefix table of a decoder wants them."""
+    return codes.select(F.trim(code).alias(code)).filter(F.col(code) != "").distinct().orderBy(code)
+
+
+def metrics(df: DataFrame, path: str, source: str, mode: str = "overwrite") -> str:
+    """Metric rows as JSON beside the predictions, the model's source in the name; NaN and infinite values become null."""
+    plain = [F.when(F.isnan(f.name) | (F.abs(f.name) == float("inf")), F.lit(None)).otherwise(F.col(f.name)).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in df.schema.fields]
+    folder, _, name = path.rpartition("/")
+    stem, dot, ext = name.rpartition(".")
+    to = f"{folder}/{stem or ext}_{re.sub(r'[^0-9A-Za-z_-]+', '_', source)}{dot}{ext if stem else ''}"
+    json_rows(df.select(*plain).coalesce(1), to, mode)
+    return to
+
+
+def latest_state(states: DataFrame, by: list[str], step: str, changed: str) -> DataFrame:
+    """The row of the highest step of each group, the one changed last among equals."""
+    best = states.groupBy(*by).agg(F.max_by(F.struct(*states.columns), F.struct(step, changed)).alias("x"))
+    return best.select("x.*")
 
 
 def list_text(df: DataFrame, *cols: str) -> DataFrame:

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmill.functions import coerce, ids, jsonx, scoring, text
-from quillmill.operators import builders, external, joins, limits, prefix, sequence
-from quillmill.sources import readers, sinks
+from quillmill.operators import builders, external, inputs, joins, limits, prefix, sequence
+from quillmill.sources import checkpoints, readers, sinks
 from quillmill.streaming import runs
 
 CODE = "<|cid_begin|><s_a_{}><s_b_{}><s_c_{}><|cid_end|>"
@@ -196,12 +196,19 @@ def test_sources_and_sinks(spark, tmp_path):
     p.write_text('{"b": "text one", "a": "[\\"x\\", \\"y\\"]", " ": "z"}')
     assert [(r["id"]) for r in readers.map_document(spark, str(p)).orderBy("pos").collect()] == ["b", "a", " "]
     assert {r["id"]: r["tid"] for r in readers.terms_by_pid(spark, str(p)).collect()} == {"b": ["text one"], "a": ["x", "y"]}
-    q = tmp_path / "log.jsonl"
-    q.write_text('{"type":"meta"}\n{"type":"item","index":1,"value":"old"}\nbroken\n{"type":"item","index":1,"value":"new"}\n{"type":"item","index":9,"value":"x"}\n')
-    assert [tuple(r) for r in readers.checkpoint_lines(spark, str(q), 5).collect()] == [(1, "new")]
+    (tmp_path / "l.json").write_text('[{"id": "k", "tid": ["x", " "]}, {"id": "k", "tid": ["y"]}, {"id": "n", "tid": null}]')
+    assert [tuple(r) for r in readers.terms_by_pid(spark, str(tmp_path / "l.json")).collect()] == [("k", ["y"])]
+    (tmp_path / "c1.json").write_text('[{"id": "k", "text": "t", "item_caption": " c "}, {"id": "n"}]')
+    assert [tuple(r) for r in readers.captions(spark, str(tmp_path / "c1.json")).orderBy("pos").collect()] == [(0, "k", "c"), (1, "n", None)]
+    assert readers.captions(spark, str(p)).count() == 3
+    (tmp_path / "bad.json").write_text('"text"')
+    with pytest.raises(Exception, match="neither an object nor a list"):
+        readers.terms_by_pid(spark, str(tmp_path / "bad.json")).collect()
     d = spark.createDataFrame([(1, "ok"), (2, None)], "k int, v string")
     sinks.with_failures(d, F.when(F.col("v").isNull(), "no value"), str(tmp_path / "good"), str(tmp_path / "bad"))
     assert spark.read.json(str(tmp_path / "good")).count() == 1 and spark.read.json(str(tmp_path / "bad")).first()["sample"]["k"] == 2
+    sinks.with_failures(d, F.lit("e"), str(tmp_path / "g2"), str(tmp_path / "b2"), "k", "v")
+    assert {(r["index"], r["sample_id"], r["error"]) for r in spark.read.json(str(tmp_path / "b2")).collect()} == {(1, "ok", "e"), (2, None, "e")}
     c = tmp_path / "c.json"
     c.write_text('{"results": [{"a": 1}, {"a": 2}]}')
     assert readers.contained(spark, str(c), "a int").count() == 2
@@ -209,6 +216,132 @@ def test_sources_and_sinks(spark, tmp_path):
     with pytest.raises(ValueError):
         d.write.parquet(str(tmp_path / "pq"))
         readers.parquet(spark, str(tmp_path / "pq"), columns=["nope"])
+    assert [r["v"] for r in readers.values(spark, str(tmp_path / "pq"), "v").collect()] == ["ok"]
+    assert readers.parquet(spark, str(tmp_path / "pq"), columns=["k"], ordered=True).columns == ["k", "file_name", "row_index"]
+    assert readers.first_existing(spark, str(tmp_path / "nope"), str(tmp_path / "pq")).endswith("pq")
+    assert [x.rpartition("/")[2] for x in readers.discovered(spark, str(tmp_path), "m", "c*", suffix=".json")] == ["c.json", "c1.json", "m.json"]
+    for bad in (lambda: readers.first_existing(spark, str(tmp_path / "nope")), lambda: readers.discovered(spark, str(tmp_path), "nope")):
+        with pytest.raises(FileNotFoundError):
+            bad()
+    (tmp_path / "t.tsv").write_text("u\tp\td\tmore\n\nv\n")
+    assert [tuple(r) for r in readers.tsv(spark, str(tmp_path / "t.tsv")).collect()] == [("u", "p", "d\tmore"), ("v", None, None)]
+    (tmp_path / "x.jsonl").write_text('{"a": 1}\nbroken\n')
+    assert sorted((r["a"], r["_bad"]) for r in readers.json_lines(spark, str(tmp_path / "x.jsonl"), "a int").collect() if r["a"]) == [(1, None)]
+    assert readers.json_documents(spark, str(c), "results array<struct<a:int>>").first()["results"][1]["a"] == 2
+    assert readers.with_dataset(spark.read.json(str(tmp_path / "x.jsonl")), ".jsonl").first()["dataset"] == "x"
+    s = readers.Settings({"n": ""}, {"n": "3", "ks": "a,b a", "bad": "x", "on": "Yes"})
+    assert s.number("n", 1) == 3 and s.number("m", 1.5, float) == 1.5 and s.keys("none", "ks") == ["a", "b"] and s.flag("on")
+    for bad in (lambda: s.keys("none"), lambda: s.number("bad", 1)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_numbered(spark):
+    d = spark.createDataFrame([(i * 7 % 50, "x") for i in range(50)], "k int, row_idx_ string").repartition(5)
+    assert [(r["row_idx"], r["k"]) for r in readers.numbered(d, "k").orderBy("k").collect()] == [(i, i) for i in range(50)]
+    assert sorted(r["row_idx"] for r in readers.numbered(d, "k", limit=3).collect()) == [0, 1, 2] and readers.numbered(d.limit(0), "k").count() == 0
+
+
+def test_checkpoints(spark, tmp_path):
+    log = tmp_path / "log.jsonl"
+    log.write_text("\n".join([
+        '{"type":"meta","total":5}', '{"type":"item","index":1,"value":{"v":"old"}}', "broken", '{"type":"item","index":1,"value":{"v":"new"}}', '{"type":"item","index":9,"value":{}}',
+        '{"type":"item","index":2,"value":"text"}', '{"total":5,"entries":{"0":{"v":"e"},"x":{},"7":{}}}', '{"total":4,"done":{"3":{}}}', '{"done":{"4":{"v":"d"}}}',
+    ]))
+    got = {r["idx"]: json.loads(r["value"]) for r in checkpoints.entries(spark, str(log), 5).collect()}
+    assert got == {0: {"v": "e"}, 1: {"v": "new"}, 4: {"v": "d"}}
+    assert checkpoints.entries(spark, str(log), 5, all_or_nothing=True).count() == 0
+    snap = tmp_path / "snap.json"
+    snap.write_text('{\n "outputs": [null, {"a": 1},\n "x"]\n}')
+    assert [r["idx"] for r in checkpoints.entries(spark, str(snap), 3, snapshot=True).collect()] == [1] and checkpoints.entries(spark, str(snap), 4, snapshot=True).count() == 0
+    done = spark.createDataFrame([(i, json.dumps({"i": i})) for i in range(7)], "idx long, value string")
+    checkpoints.append(done.filter("idx < 3"), str(tmp_path / "out"), 8, every=2)
+    checkpoints.append(done.filter("idx >= 3"), str(tmp_path / "out"), 8, every=2)
+    back = checkpoints.entries(spark, str(tmp_path / "out"), 8)
+    assert {r["idx"]: json.loads(r["value"]) for r in back.collect()} == {i: {"i": i} for i in range(7)}
+    assert [r["k"] for r in checkpoints.left_to_do(spark.range(8).select(F.col("id").alias("k")), "k", back).collect()] == [7]
+    assert one(spark, checkpoints.milestones_crossed(F.lit(3), F.lit(10), 5)) == [5, 10] and one(spark, checkpoints.milestones_crossed(F.lit(5), F.lit(9), 5)) == []
+    assert checkpoints.emergency_path("a/b.json") == "a/b_emergency.json" and checkpoints.emergency_path("b") == "b_emergency"
+
+
+def test_more_sinks(spark, tmp_path):
+    t = spark.createDataFrame([("<s_b_2>",), ("<s_a_10>",), ("<s_a_9>",), ("<|cid_end|>",), ("<s_a_9>",)], "token string")
+    sinks.vocabulary(t, str(tmp_path / "v"), spark.createDataFrame([("<s_a_9>",)], "token string"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "v/tokens")).collect()] == ["<s_a_9>", "<s_a_10>", "<s_b_2>", "<|cid_end|>"]
+    assert {r["token"]: r["id"] for r in spark.read.json(str(tmp_path / "v/vocabulary")).collect()}["<s_b_2>"] == 2
+    assert {r["kind"]: (r["n"], r["n_new"]) for r in spark.read.json(str(tmp_path / "v/summary")).collect()} == {"a": (2, 1), "b": (1, 1), "mark": (1, 1)}
+    to = sinks.metrics(spark.createDataFrame([(float("nan"), 2.0)], "a double, b double"), str(tmp_path / "m.json"), "my model/1")
+    assert to.endswith("m_my_model_1.json") and spark.read.json(to).first()["b"] == 2.0
+    st = spark.createDataFrame([("r", 5, 1, "x"), ("r", 10, 1, "y"), ("r", 10, 2, "z")], "run string, step int, at int, path string")
+    assert sinks.latest_state(st, ["run"], "step", "at").first()["path"] == "z"
+    codes = spark.createDataFrame([(" b",), ("a",), ("b",), ("",), (None,)], "code string")
+    assert [r["code"] for r in sinks.codes_in_order(codes, "code").collect()] == ["a", "b"]
+    logs = spark.createDataFrame([(s, i) for s in (1, 2, 4) for i in range(5)], "step int, i int")
+    assert {r["step"]: r["n"] for r in sinks.log_entries(logs, 2, "step", 3).groupBy("step").agg(F.count("*").alias("n")).collect()} == {2: 3, 4: 3}
+    assert sinks.list_text(spark.createDataFrame([(["a", 'b"'],)], "x array<string>"), "x").first()["x"] == '["a","b\\""]'
+    assert sinks.snapshot_path("p", 25, 10) == "p.20"
+
+
+def test_layouts(spark):
+    terms = spark.createDataFrame([("B000000001", ["t1", "t2"])], "pid string, tid array<string>")
+    s = "k int, uid string, hist_pid string, valid_pid string, target_pid string, hist_tid array<array<string>>, valid_tid array<string>, target_tid array<string>, history_tids array<array<string>>"
+    d = spark.createDataFrame([
+        (1, "u", "['B000000001','B000000002']", "B000000001", "B000000003", None, None, None, None), (2, "u", None, None, None, [["a", " "], [" "]], ["v"], ["g"], None),
+        (3, None, None, None, None, None, None, ["g"], [["h"]]), (4, "u", None, None, "B000000001", None, None, None, None), (5, "u", "", None, " ", None, None, None, None),
+    ], s)
+    got = {r["k"]: (r["form"], r["history_tids"], r["target_tid"]) for r in inputs.dispatched(d, "k", terms).collect()}
+    assert got == {
+        1: ("B", [["t1", "t2"], ["B000000002"], ["t1", "t2"]], ["B000000003"]), 2: ("C", [["a"], ["v"]], ["g"]), 3: ("A", [["h"]], ["g"]), 4: ("error", None, None), 5: ("B", [], []),
+    }
+    assert inputs.dispatched(d.limit(0), "k", terms).count() == 0
+    o = inputs.outcome_log(spark.createDataFrame([(1, None), (2, "e")], "k int, e string"), "e", "k").collect()
+    assert [(r["k"], r["status"]) for r in o] == [(1, "ok"), (2, "error")]
+
+
+def test_unused_expressions(spark):
+    a = "a array<string>"
+    assert one(spark, coerce.as_list(F.col("a"), True), a, (None,)) == [] and one(spark, coerce.as_list(F.col("a"), False), row=("x",)) == ["x"]
+    assert one(spark, coerce.str_or_empty(F.col("a"))) == "" and one(spark, coerce.target_terms(F.col("a")), row=("A, b;c/ ",)) == ["a", "b", "c"]
+    assert one(spark, coerce.mapped(F.col("a"), {"x": "1"}, "other", "none"), row=("y",)) == "other" and one(spark, coerce.mapped(F.col("a"), {"x": "1"}, "other", "none")) == "none"
+    assert one(spark, sequence.until_eos(F.array(*[F.lit(x) for x in (4, 0, 5, 0)]), 0)) == [4, 0] and one(spark, sequence.until_eos(F.array(F.lit(4)), 0)) == [4]
+    assert one(spark, text.strip_fences(F.col("a")), row=("```sql\nx\n```",)) == "x" and one(spark, text.strip_fences(F.col("a"), False), row=("```JSON x",)) == "x"
+    assert one(spark, text.strip_think(F.col("a")), row=("<THINK>a\n</think> b",)) == "b" and one(spark, text.first_person(F.col("a"))) is False
+    assert one(spark, text.task_of_prompt(F.col("a")), row=("... Target_CID",)) == "cid2cid"
+    assert one(spark, jsonx.safe_parse(F.col("a"), "array<int>", F.array(F.lit(7))), row=("[1",)) == [7] and one(spark, scoring.bounded(F.col("a"), 0.5), row=("x",)) == 0.5
+    assert one(spark, sequence.milestones(F.lit(10), 5)) is True
+    d = spark.range(20).select(F.col("id").alias("k"))
+    x, y = ([r["k"] for r in limits.shuffled(d, s, "k").collect()] for s in (1, 1))
+    assert x == y != sorted(x) and sorted(x) == list(range(20))
+    m = sequence.row_mask(d, "k", spark.createDataFrame([(3,), (3,), (99,)], "k long"))
+    assert [r["k"] for r in m.filter("mask = 1").collect()] == [3] and m.count() == 20
+
+
+def test_padding_and_packing_errors(spark):
+    with pytest.raises(Exception, match="longer than the padded width"):
+        spark.range(1).select(sequence.padded(F.array(F.lit(1), F.lit(2)), 1, 0)).collect()
+    d = spark.createDataFrame([("s", 0, [1, 2], [1]), ], "split string, pos long, ids array<int>, mask array<int>")
+    with pytest.raises(Exception, match="differ in length"):
+        sequence.packed_tokens(d, "split", "pos", "ids", "mask", 0).collect()
+    d = spark.createDataFrame([("s", 0, [1, 2], [0, 1]), ("s", 1, [3], None), ("s", 2, [4] * 9, None), ("s", 3, [5, 6], [1, 1]), ("s", 4, None, None)], "split string, pos long, ids array<int>, mask array<int>")
+    got = {r["pack"]: (r["input_ids"], r["assistant_masks"], r["labels"]) for r in sequence.packed_tokens(d, "split", "pos", "ids", "mask", 0, 6).collect()}
+    assert got == {0: ([1, 2, 0, 3, 0], [0, 1, 0, 0, 0], [-100, 2, -100, -100, -100]), 1: ([5, 6, 0], [1, 1, 0], [5, 6, -100])}
+
+
+@pytest.mark.parametrize("longest,width,n", [(10, 5, 200), (7, 50, 300), (100, 1000, 500), (10, 3, 100)])
+def test_next_fit_in_blocks(spark, longest, width, n):
+    import random
+
+    rng = random.Random(longest)
+    rows = [(s, i, rng.randint(0, longest + 1)) for s in "ab" for i in range(n)]
+    want = {}
+    for s in "ab":
+        pack = used = 0
+        for _, i, k in (x for x in rows if x[0] == s):
+            if 1 <= k <= longest:
+                pack, used = (pack + 1, k) if used + k > longest else (pack, used + k)
+                want[s, i] = pack
+    d = spark.createDataFrame(rows, "split string, i long, n int")
+    assert {(r["split"], r["i"]): r["pack"] for r in sequence.next_fit(d, "split", "i", "n", longest, width).collect()} == want
 
 
 def test_streaming(spark, tmp_path):
