@@ -50,6 +50,12 @@ def parse_list_string(c: Column) -> Column:
     )
 
 
+def id_values(c: Column) -> Column:
+    """Ids or terms of a text: a JSON list, also of lists, commas, or one value; stripped, without empty ones."""
+    inner = lambda x: F.when(x.rlike(r"(?s)^\s*\[.*\]\s*\z"), parse_list_string(x)).otherwise(F.array(x))
+    return clean_values(F.flatten(F.transform(parse_list_string(c), inner)))
+
+
 def clean_values(c: Column) -> Column:
     """Stripped, non-empty elements."""
     return F.filter(F.transform(F.coalesce(c, F.array().cast(STRINGS)), lambda x: pytrim(x)), lambda x: F.coalesce(x, F.lit("")) != "")
@@ -60,13 +66,15 @@ def target_id(c: Column) -> Column:
     return F.nullif(pytrim(first(c)), F.lit(""))
 
 
-def hist_pids(c: Column) -> Column:
-    """All ten-character product ids of a text, in order."""
-    return F.coalesce(F.regexp_extract_all(c, F.lit(r"\b[A-Z0-9]{10}\b"), F.lit(0)), F.array().cast(STRINGS))
+def hist_pids(c: Column, is_array: bool = False) -> Column:
+    """All ten-character product ids of a text, in order; of a list, its stripped, non-empty elements."""
+    return clean_values(c) if is_array else F.coalesce(F.regexp_extract_all(c, F.lit(r"\b[A-Z0-9]{10}\b"), F.lit(0)), F.array().cast(STRINGS))
 
 
-def history_tids(c: Column) -> Column:
-    """Stripped terms per item; an item left without terms stays as []."""
+def history_tids(c: Column, scalars: bool = False) -> Column:
+    """Stripped terms per item; an item left without terms stays as []. ``scalars``: an item is a text with its terms."""
+    if scalars:
+        return F.coalesce(F.transform(c, id_values), F.array().cast("array<array<string>>"))
     return F.coalesce(F.transform(c, clean_values), F.array().cast("array<array<string>>"))
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import ids, scoring
+from ..functions.coerce import pytrim
 
 KS = (1, 5, 10, 20, 40)  # fixed values
 
@@ -45,9 +47,12 @@ def instruction_metrics(df: DataFrame, pred_tid: str, gold_tid: str, pred_ins: s
     return (df.groupBy(*by) if by else df).agg(*aggs)
 
 
-def code_token_counts(df: DataFrame, col: str) -> DataFrame:
-    """``token, n`` over the valid codes; codes are counted first, so each distinct one is taken apart once."""
+def code_token_counts(df: DataFrame, col: str, trimmed: bool = False) -> DataFrame:
+    """``token, n`` over the valid codes; texts are counted first, so each distinct one is cleaned (``trimmed``: of white
+    space) and taken apart once."""
     each = df.filter(F.length(col) > 0).groupBy(F.col(col).alias("code")).agg(F.count("*").alias("m"))
+    if trimmed:
+        each = each.withColumn("code", pytrim(F.col("code"))).filter(ids.is_code(F.col("code")))
     ok = each.filter(F.coalesce(ids.tokens_cover(F.col("code")), F.lit(False)))
     return ok.select(F.explode(ids.code_tokens(F.col("code"))).alias("token"), "m").groupBy("token").agg(F.sum("m").alias("n"))
 
@@ -58,17 +63,37 @@ def code_validity(df: DataFrame, col: str) -> DataFrame:
 
 
 def codes_anywhere(df: DataFrame) -> DataFrame:
-    """``code``: the distinct valid codes in any string or string-array column."""
-    parts = []
-    for f in df.schema.fields:
-        kind = f.dataType.simpleString()
-        if kind == "string":
-            parts.append(F.array(f"`{f.name}`"))
-        elif kind == "array<string>":
-            parts.append(F.coalesce(F.col(f"`{f.name}`"), F.array().cast("array<string>")))
+    """``code``: the distinct valid codes in any text of any column, however deep in arrays, structs and maps."""
+    parts = [x for f in df.schema.fields if (x := _texts(F.col(f"`{f.name}`"), f.dataType)) is not None]
     if not parts:
         return df.sparkSession.createDataFrame([], "code string")
-    return df.select(F.explode(F.concat(*parts)).alias("code")).filter(ids.is_code(F.col("code"))).select(F.trim("code").alias("code")).distinct()
+    found = df.select(F.explode(F.concat(*parts)).alias("code")).filter("code IS NOT NULL").distinct()
+    return found.filter(ids.is_code(F.col("code"))).select(pytrim(F.col("code")).alias("code")).distinct()
+
+
+def _texts(c: Column, kind: T.DataType) -> Column | None:
+    """All texts in a value as one array; None for a type that holds none."""
+    none = F.array().cast("array<string>")
+    if isinstance(kind, T.StringType):
+        return F.array(c)
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StringType):
+            return F.coalesce(c, none)
+        if _texts(F.lit(None), kind.elementType) is None:
+            return None
+        return F.coalesce(F.flatten(F.transform(F.filter(c, lambda x: x.isNotNull()), lambda x: _texts(x, kind.elementType))), none)
+    if isinstance(kind, T.StructType):
+        parts = [x for f in kind.fields if (x := _texts(c[f.name], f.dataType)) is not None]
+        return F.concat(*parts) if parts else None
+    if isinstance(kind, T.MapType):
+        parts = [x for m, k in ((F.map_keys(c), kind.keyType), (F.map_values(c), kind.valueType)) if (x := _texts(m, T.ArrayType(k))) is not None]
+        return F.concat(*parts) if parts else None
+    return None
+
+
+def counts_by(df: DataFrame, *cols: str) -> DataFrame:
+    """Rows of each combination, the largest first."""
+    return df.groupBy(*cols).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *cols)
 
 
 def group_spread(df: DataFrame, group: list[str], reward: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coerce
 
-# fixed values: texts of the samples
+# fixed values: texts of the samples, here and in the user turns below
 SYSTEM = {
     "cid2tid": "You are an ID mapping assistant. Your task is to map the input cid to the corresponding tid (tid is the item's metadata). The final answer must be a JSON object only, with the field target_tid and no other fields.",
     "tid2cid": "You are an ID mapping assistant. Your task is to map the input tid (tid is the item's metadata) to the corresponding cid. The final answer must be a JSON object only, with the field target_cid and no other fields.",
@@ -96,8 +96,22 @@ def union_samples(parts: list[tuple[str, DataFrame]]) -> DataFrame:
     return reduce(DataFrame.unionByName, made)
 
 
+def rl_prompt(task: str, hist: Column) -> Column:
+    """System and user turn of a record; its history is taken as it is, nulls as the word null."""
+    listed = F.concat(F.lit("["), F.array_join(F.transform(F.coalesce(hist, F.array().cast("array<string>")), lambda x: F.when(x.isNull(), "null").otherwise(_quoted(x))), ","), F.lit("]"))
+    user = {
+        "cid2cid": lambda: _lines("Task: Predict the target_cid based on the user's historical interactions in hist_cid.", F.concat(F.lit("hist_cid: "), listed), "Think first, then output JSON only."),
+        "cid2ins": lambda: _lines(
+            "Task: Generate the target recommendation result based on the user's historical interactions in hist_cid.",
+            "The output must be JSON with the fields target_tid and target_ins.", F.concat(F.lit("hist_cid: "), listed),
+        ),
+    }[task]()
+    said = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    return F.array(said("system", F.lit(SYSTEM[task])), said("user", user))
+
+
 def rl_row(task: str, split: str, uid: Column, hist: Column, code: Column, tid: Column, ins: Column) -> list[Column]:
     """One flat schema for both tasks; lists stay arrays until a sink writes them."""
     e = F.array().cast("array<string>")
-    return [F.lit(task).alias("task"), F.lit(split).alias("split"), F.coalesce(uid, F.lit("")).alias("uid"), F.coalesce(hist, e).alias("hist_cid"),
+    return [rl_prompt(task, hist).alias("prompt"), F.lit(task).alias("task"), F.lit(split).alias("split"), F.coalesce(uid, F.lit("")).alias("uid"), F.coalesce(hist, e).alias("hist_cid"),
             F.coalesce(code, F.lit("")).alias("gold_target_cid"), F.coalesce(tid, e).alias("gold_target_tid"), F.coalesce(ins, F.lit("")).alias("gold_target_ins")]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Client = Callable[[list[str]], list[str]]
@@ -48,6 +49,32 @@ def ask(df: DataFrame, prompt: str, client: Client = stub_client, batch: int = 3
     return df.join(asked.withColumnRenamed("_prompt", prompt), prompt, "left")
 
 
+def pooled(*clients: Client) -> Client:
+    """One client of several (say one a key): batches go round, and a failing one is passed on to the next."""
+    turn = itertools.count()
+
+    def run(prompts: list[str]) -> list[str]:
+        first, last = next(turn), None
+        for k in range(len(clients)):
+            try:
+                return clients[(first + k) % len(clients)](prompts)
+            except Exception as e:  # the next key may work
+                last = e
+        raise last
+
+    return run
+
+
+def judged(df: DataFrame, fields: list[str], client: Client, schema: str, fallback: Column, **how) -> DataFrame:
+    """``df`` with ``scores`` (``schema``) and ``judged``: a judge's answers to the rows' fields as canonical JSON (arrays
+    sorted, texts in lower case), so that equal requests are one call, or ``fallback`` where it fails or says no object."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    plain = lambda c: F.array_sort(F.transform(c, lambda x: F.lower(F.trim(x)))) if kinds[c] == "array" else F.lower(F.trim(F.col(c).cast("string")))
+    d = df.withColumn("_ask", F.to_json(F.struct(*[plain(c).alias(c) for c in sorted(fields)])))
+    d = ask(d, "_ask", client, **how).withColumn("_s", F.when(F.try_parse_json("answer").isNotNull(), F.from_json("answer", schema)))
+    return d.withColumn("judged", F.col("_s").isNotNull()).withColumn("scores", F.coalesce("_s", fallback)).drop("_ask", "_s", "answer", "error")
+
+
 def split_failures(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows, dead letters)"""
     return df.filter("error IS NULL").drop("error"), df.filter("error IS NOT NULL")

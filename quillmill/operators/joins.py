@@ -41,6 +41,16 @@ def zip_groups(items: DataFrame, position: str, value: str, width: int) -> DataF
     return grouped.select("grp", F.col(f"m.{value}").alias("members"))
 
 
+def reattached(df: DataFrame, key: str, items: str, answers: DataFrame, answer: str, out: str) -> DataFrame:
+    """``out``: the answers (``key, pos, answer``; 0-based ``pos``) to the elements of the array ``items``, in their order,
+    null where one is missing; the last of repeated answers by value counts. ``key`` is unique."""
+    one = answers.groupBy(key, "pos").agg(F.max(answer).alias("_v"))
+    each = df.select(key, F.posexplode(items).alias("pos", "_x")).join(one, [key, "pos"], "left")
+    got = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.col("_v").alias("v")))).alias("_all"))
+    kind = f"array<{answers.schema[answer].dataType.simpleString()}>"
+    return df.join(got, key, "left").withColumn(out, F.coalesce(F.col("_all.v"), F.array().cast(kind))).drop("_all")
+
+
 def continuations(catalog: DataFrame, code: str, prefixes: DataFrame, prefix: str, lengths: list[int]) -> DataFrame:
     """``prefix, continuation`` for each catalog code that starts with a probe; an equi-join on starts of the probes'
     (few) lengths, no range join."""

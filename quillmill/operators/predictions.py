@@ -126,14 +126,6 @@ def instruction_summary(records: DataFrame, gold_tid: str, by: list[str] = []) -
     return (records.groupBy(*by) if by else records).agg(*aggs)
 
 
-def regrouped(flat: DataFrame, position: str, value: str, width: int) -> DataFrame:
-    """``row, values``: every ``width`` answers of a flat list, by their 0-based positions, as one row's list."""
-    if width <= 0:
-        raise ValueError("width must be positive")
-    g = flat.groupBy(F.floor(F.col(position) / width).alias("row")).agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(value).alias("v")))).alias("x"))
-    return g.select("row", F.col("x.v").alias("values"))
-
-
 def completion_lengths(answers: DataFrame, ids_col: str, eos: int) -> DataFrame:
     """One row: mean, least and most tokens up to the end mark, the share cut off before it, and the same of the rest."""
     at = F.array_position(ids_col, F.lit(eos)).cast("int")

@@ -28,6 +28,16 @@ def decode_groups(states: DataFrame, key: str) -> DataFrame:
     return states.groupBy("allowed").agg(F.count("*").alias("n"), F.min(key).alias("first_key"))
 
 
+def constrained_next(states: DataFrame, text: str, marker: str, table: DataFrame) -> DataFrame:
+    """``phase, allowed``: what may follow a text that is being written: the continuations of the code begun behind the
+    last marker while one is open, and null (anything) before it and after its end."""
+    d = states.withColumn("phase", phase(F.col(text), marker))
+    d = d.withColumn("_p", F.when(F.col("phase") == "code", F.substring_index(text, marker, -1)))
+    t = table.groupBy(F.col("prefix").alias("_p")).agg(F.array_sort(F.collect_set("next")).alias("allowed"))
+    none = F.when(F.col("phase") == "code", F.array().cast("array<string>"))
+    return d.join(t, "_p", "left").withColumn("allowed", F.coalesce("allowed", none)).drop("_p")
+
+
 def phase(text: Column, marker: str) -> Column:
     """'search' before the marker, 'code' in the code after it, 'closed' once that ends."""
     after = F.substring_index(text, marker, -1)

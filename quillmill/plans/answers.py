@@ -107,9 +107,11 @@ def failure_cooldown(spark, d):
     return sequence.cooled_down(e, ["user_id"], "ts", 60 * 24, 3, 60 * 12).select("event_id", "recent", "tripped", "cooling")
 
 
-def regrouped_answers(spark, d):
-    e = t(spark, d, "events").select(F.col("event_id").alias("p"), "event_type")
-    return predictions.regrouped(e, "p", "event_type", 4).select("row", F.array_join("values", "|").alias("values"))
+def metrics_by_scope(spark, d):
+    """Ranking metrics by source and by whether the gold code is in the catalog."""
+    known = t(spark, d, "pid2cid2tid").select(coerce.pytrim(F.col("sid")).alias("sid"))
+    r = joins.with_membership(_ranked(spark, d), "gold_target_cid", known, "sid", "in_catalog")
+    return predictions.ranking_summary(r, ["source_dataset", "in_catalog"], (1, 5))
 
 
 _L = "coalesce(list_filter({}, lambda x: x IS NOT NULL), [])"
@@ -171,6 +173,12 @@ SELECT row_id, coalesce(nullif({TRIM.format('uid')}, ''), 'sample_' || lpad(row_
 b AS (SELECT *, sum(f::INT) OVER (PARTITION BY user_id, isle ORDER BY ts, event_id) AS run FROM a) SELECT event_id, user_id FROM b WHERE run = 2 AND f""",
     "failure_cooldown": """WITH a AS (SELECT event_id, user_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS recent FROM events WHERE event_type = 'error')
 SELECT event_id, recent, recent >= 3 AS tripped, coalesce(bool_or(recent >= 3) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 12 HOUR PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING), false) AS cooling FROM a""",
-    "regrouped_answers": "SELECT event_id // 4 AS row, array_to_string(list(event_type ORDER BY event_id), '|') AS values FROM events GROUP BY 1",
+    "metrics_by_scope": _RANK
+    + f""", k AS (SELECT DISTINCT {TRIM.format('sid')} AS sid FROM pid2cid2tid WHERE sid IS NOT NULL), z AS (SELECT p.*, k.sid IS NOT NULL AS in_catalog FROM p LEFT JOIN k ON k.sid = p.g)
+"""
+    + """SELECT source_dataset, in_catalog, count(*) AS total, count(*) FILTER (p1) AS top1_parsed, round(avg(p1::INT), 6) AS top1_parse_rate, count(*) AS any_parsed, 1.0::DOUBLE AS any_parse_rate,
+count(*) FILTER (c1 IS NOT DISTINCT FROM g) AS exact_matches, round(avg((c1 IS NOT DISTINCT FROM g)::INT), 6) AS exact_accuracy, coalesce(round(count(*) FILTER (c1 IS NOT DISTINCT FROM g) / nullif(count(*) FILTER (p1), 0), 6), 0) AS exact_on_parsed, """
+    + ", ".join(f"round(avg({_at(k)}::INT), 6) AS recall_{k}, count(*) FILTER ({_at(k)}) AS hits_{k}, round(avg(CASE WHEN {_at(k)} THEN 1 / log2(list_position(u, g) + 1) ELSE 0 END), 6) AS ndcg_{k}" for k in (1, 5))
+    + " FROM z GROUP BY source_dataset, in_catalog",
 }
 QUERIES = {k: globals()[k] for k in SQL}

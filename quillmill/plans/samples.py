@@ -42,7 +42,7 @@ def rl_rows(spark, d):
     x = a.select("row_id", *builders.rl_row("cid2cid", "valid", F.col("uid"), F.col("hist_sid"), F.col("target_sid"), F.lit(None).cast("array<string>"), n))
     y = b.select("row_id", *builders.rl_row("cid2ins", "train", F.col("uid"), F.col("hist_sid"), n, F.col("target_tid"), F.col("target_ins")))
     u = x.unionByName(y)
-    return u.select("row_id", "task", "split", "uid", F.size("hist_cid").alias("n_hist"), "gold_target_cid", F.array_join("gold_target_tid", "|").alias("gold_target_tid"), "gold_target_ins")
+    return u.select("row_id", F.col("prompt")[1]["content"].alias("prompt"), "task", "split", "uid", F.size("hist_cid").alias("n_hist"), "gold_target_cid", F.array_join("gold_target_tid", "|").alias("gold_target_tid"), "gold_target_ins")
 
 
 def packing_next_fit(spark, d):
@@ -104,8 +104,8 @@ SQL = {
     "sft_union_all": _S + 'SELECT task_ord, task, row_id, "user", assistant FROM u WHERE ok',
     "dropped_counts": _S + "SELECT task, count(*) AS rows_in, count(*) FILTER (ok) AS kept, count(*) FILTER (NOT ok) AS dropped FROM u GROUP BY task",
     "tid2tid_samples": f"SELECT row_id, {_TH} || '{{\"target_tid\":' || {_J.format('target_tid')} || '}}' AS assistant FROM train_cid2ins WHERE target_tid IS NOT NULL AND len({_L.format('target_tid')}) > 0",
-    "rl_rows": """SELECT row_id, 'cid2cid' AS task, 'valid' AS split, coalesce(uid, '') AS uid, coalesce(len(hist_sid), 0)::INT AS n_hist, coalesce(target_sid, '') AS gold_target_cid, '' AS gold_target_tid, '' AS gold_target_ins FROM valid_cid2cid
-UNION ALL SELECT row_id, 'cid2ins', 'train', coalesce(uid, ''), coalesce(len(hist_sid), 0)::INT, '', coalesce(array_to_string(list_filter(target_tid, lambda x: x IS NOT NULL), '|'), ''), coalesce(target_ins, '') FROM train_cid2ins""",
+    "rl_rows": r"""SELECT row_id, 'Task: Predict the target_cid based on the user''s historical interactions in hist_cid.' || chr(10) || 'hist_cid: ' || coalesce(to_json(hist_sid)::VARCHAR, '[]') || chr(10) || 'Think first, then output JSON only.' AS prompt, 'cid2cid' AS task, 'valid' AS split, coalesce(uid, '') AS uid, coalesce(len(hist_sid), 0)::INT AS n_hist, coalesce(target_sid, '') AS gold_target_cid, '' AS gold_target_tid, '' AS gold_target_ins FROM valid_cid2cid
+UNION ALL SELECT row_id, 'Task: Generate the target recommendation result based on the user''s historical interactions in hist_cid.' || chr(10) || 'The output must be JSON with the fields target_tid and target_ins.' || chr(10) || 'hist_cid: ' || coalesce(to_json(hist_sid)::VARCHAR, '[]'), 'cid2ins', 'train', coalesce(uid, ''), coalesce(len(hist_sid), 0)::INT, '', coalesce(array_to_string(list_filter(target_tid, lambda x: x IS NOT NULL), '|'), ''), coalesce(target_ins, '') FROM train_cid2ins""",
     "packing_next_fit": """WITH RECURSIVE d AS (SELECT coalesce(source, '') AS source, doc_id, text FROM documents), p AS (SELECT source, doc_id, len(string_split(coalesce(text, ''), ' '))::INT AS n_words, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM d
   WHERE len(string_split(coalesce(text, ''), ' ')) BETWEEN 1 AND 2048),
 r AS (SELECT source, doc_id, n_words, k, 0 AS pack, n_words AS used FROM p WHERE k = 1

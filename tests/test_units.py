@@ -236,6 +236,35 @@ def test_sources_and_sinks(spark, tmp_path):
             bad()
 
 
+def test_id_values(spark):
+    assert one(spark, coerce.id_values(F.col("a")), row=('[["x", " y "], "z", ""]',)) == ["x", "y", "z"]
+    assert one(spark, coerce.id_values(F.col("a")), row=("p, q,",)) == ["p", "q"] and one(spark, coerce.id_values(F.col("a"))) == []
+    assert one(spark, coerce.hist_pids(F.col("a"), True), "a array<string>", ([" x ", "", None],)) == ["x"] and one(spark, coerce.hist_pids(F.col("a")), row=("'B000000001', x",)) == ["B000000001"]
+    assert one(spark, coerce.history_tids(F.col("a"), True), "a array<string>", (["a, b", "c", None],)) == [["a", "b"], ["c"], []]
+
+
+def test_codes_anywhere(spark):
+    from quillmill.operators import aggregates
+
+    c = [CODE.format(i, 2, 3) for i in range(8)]
+    s = "a string, b array<array<string>>, c struct<x: string, y: array<string>, n: int>, d map<string, array<string>>, e int, f array<struct<z: string>>"
+    d = spark.createDataFrame([(" " + c[0], [[c[1]], None], (c[2], [c[3]], 1), {c[4]: [c[5], "x"]}, 1, [(c[6],), None]), (None,) * 6], s)
+    assert {r["code"] for r in aggregates.codes_anywhere(d).collect()} == set(c[:7])
+    assert aggregates.codes_anywhere(d.select("e")).count() == 0
+
+
+def test_judge_pool(spark):
+    def down(prompts):
+        raise RuntimeError("down")
+
+    both = external.pooled(down, lambda ps: [json.dumps({"s": len(json.loads(p)["terms"])}) if "bad" not in p else "no" for p in ps])
+    d = spark.createDataFrame([(1, ["B ", "a"], "X"), (2, ["a", "b"], "x "), (3, ["bad"], "y"), (4, None, None)], "k int, terms array<string>, ins string")
+    got = {r["k"]: (r["scores"]["s"], r["judged"]) for r in external.judged(d, ["terms", "ins"], both, "s double", F.struct(F.lit(-1.0).alias("s")), attempts=1, pause=0).collect()}
+    assert got == {1: (2.0, True), 2: (2.0, True), 3: (-1.0, False), 4: (-1.0, False)}
+    with pytest.raises(RuntimeError):
+        external.pooled(down, down)(["x"])
+
+
 def test_numbered(spark):
     d = spark.createDataFrame([(i * 7 % 50, "x") for i in range(50)], "k int, row_idx_ string").repartition(5)
     assert [(r["row_idx"], r["k"]) for r in readers.numbered(d, "k").orderBy("k").collect()] == [(i, i) for i in range(50)]
