@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.readers import numbered
 from . import common as C
 
 
@@ -48,9 +47,8 @@ def item_pairs(
     if min_lift > 0:
         known = known.filter(F.col("n_x") * min_lift <= n)
     # ids in the order of the items; a relative threshold keeps at most (mean items of a basket) / min_share of them
-    known = C.kept(numbered(C.kept(known, "items"), "item").select("item", "n_x", F.col("row_idx").alias("id")), "known")
-    n_items = known.count()
-    small = n_items <= BROADCAST_ITEMS
+    known = C.kept(known.orderBy("item").withColumn("id", F.monotonically_increasing_id()), "known")
+    small = known.count() <= BROADCAST_ITEMS
     sized = F.broadcast if small else lambda d: d
     slim = each.join(sized(known.select("item", "id")), "item").groupBy(*key).agg(F.array_sort(F.collect_list("id")).alias("_ids"))
     behind = F.transform(
@@ -60,12 +58,12 @@ def item_pairs(
     usual = slim.filter((F.size("_ids") > 1) & ~many).select(F.explode(behind).alias("x"))
     wide = slim.filter(many).select(F.posexplode("_ids").alias("_i", "a"), "_ids").repartition(F.xxhash64("a", "_i"))
     wide = wide.select(F.struct("a", F.slice("_ids", F.col("_i") + 2, F.size("_ids")).alias("rest")).alias("x"))
-    made = usual.unionByName(wide).select(F.col("x.a").alias("a"), F.explode("x.rest").alias("b"))
-    if n_items < 3_000_000_000:  # both ids in one number: a shorter key to hash, sort and send
-        both = made.groupBy((F.col("a") * n_items + F.col("b")).alias("ab")).agg(F.count("*").alias("n_ab")).filter(F.col("n_ab") >= least)
-        pairs = both.select(F.expr(f"ab div {max(1, n_items)}").alias("a"), (F.col("ab") % max(1, n_items)).alias("b"), "n_ab")
-    else:
-        pairs = made.groupBy("a", "b").agg(F.count("*").alias("n_ab")).filter(F.col("n_ab") >= least)
+    pairs = (
+        usual.unionByName(wide).select(F.col("x.a").alias("a"), F.explode("x.rest").alias("b"))
+        .groupBy("a", "b")
+        .agg(F.count("*").alias("n_ab"))
+        .filter(F.col("n_ab") >= least)
+    )
     a, z = (known.select(F.col("id").alias(x), F.col("item").alias(f"item_{x}"), F.col("n_x").alias(f"n_{x}")) for x in "ab")
     lift = F.col("n_ab") * F.lit(float(n)) / (F.col("n_a").cast("double") * F.col("n_b"))
     out = pairs.join(sized(a), "a").join(sized(z), "b")
