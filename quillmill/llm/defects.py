@@ -153,9 +153,15 @@ class SuffixAutomaton:
 _TOKEN = re.compile(r"<s_a_\d+>\s*<s_b_\d+>\s*<s_c_\d+>|[^\W_]+(?:[-'’][^\W_]+)*")
 
 
+_SPACE = re.compile(r"\s+")
+_MARKER = re.compile(r"<\|cid_(?:begin|end)\|>")
+
+
 def tokens_of(text: str) -> list[str]:
-    text = text.replace("<|cid_begin|>", " ").replace("<|cid_end|>", " ")
-    return [re.sub(r"\s+", "", t).lower() if t.startswith("<") else t.lower() for t in _TOKEN.findall(text)]
+    """Item codes without blanks, and words, in lower case."""
+    if "<" not in text:
+        return _TOKEN.findall(text.lower())
+    return [_SPACE.sub("", t) if t[0] == "<" else t for t in _TOKEN.findall(_MARKER.sub(" ", text).lower())]
 
 
 class Source:
@@ -190,17 +196,18 @@ _STOP = re.compile(r"(?<=[.!?。！？])\s*")
 def votes_of(sentence: str) -> dict[str, float]:
     """Votes of the stop words of a sentence in lower case, by language."""
     votes: dict[str, float] = {}
-    for w in _WORDS.findall(sentence):
-        langs = _VOTES.get(w)
-        if langs:
-            for lang in langs:
-                votes[lang] = votes.get(lang, 0) + 1 / len(langs)
+    for w in filter(_VOTES.__contains__, _WORDS.findall(sentence)):
+        langs = _VOTES[w]
+        for lang in langs:
+            votes[lang] = votes.get(lang, 0) + 1 / len(langs)
     return votes
 
 
 def foreign_share(text: str) -> float:
     """Share of the voting characters that lie in sentences whose stop words or script are not English."""
-    plain = re.sub(r"<[^>]*>?", " ", _LEAD.sub("", text)).lower()
+    plain = _LEAD.sub("", text).lower()
+    if "<" in plain:
+        plain = re.sub(r"<[^>]*>?", " ", plain)
     foreign = total = 0
     for s in _STOP.split(plain):
         letters = sum(map(str.isalpha, s))
@@ -282,7 +289,7 @@ def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     out.append((row_id, "target_tid", "language"))
             if is_empty(ins):
                 out.append((row_id, "target_ins", "empty"))
-            prompt = Source([t for x in (hist if hist is not None else ()) if x for t in tokens_of(x)] + ["\x00"] + [t for x in terms for t in tokens_of(x)])
+            prompt = Source(tokens_of(" ".join(x for x in (hist if hist is not None else ()) if x)) + ["\x00"] + tokens_of(", ".join(terms)))
             for field, text in (("target_ins", ins), ("reasoning", why)):
                 if text is None or is_empty(text):
                     continue
